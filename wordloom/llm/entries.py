@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,53 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
 FROM documents d JOIN least l ON l.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from wordloom.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op1_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.ring import shard
+
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=8)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@_query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.secret_scan import digest
+
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.rules import quality_rules
+
+    out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.drop("text_hash", "n_lines", "n_capitals", "n_exclaims").withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+@_query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.neardup_vec import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+#: The share of tokens that each domain should have.
+TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
+
+
+@_query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.mixing import labelled_domains, report
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_domains(labels), TARGETS, budget="clean")
