@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -106,3 +108,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_domains(labels), TARGETS, budget="clean")
+
+
+@_query
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.cotrain import quality
+
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.licences import licences
+
+    return licences(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.pseudolik import pseudo_likelihood
+
+    return pseudo_likelihood(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op2_secret_scan"] = oracles.secret_scan_sql()
+ORACLES["op5_quality_rules"] = oracles.quality_rules_sql()
