@@ -9,6 +9,7 @@ nothing.  A group never holds more than ``max_items`` bins, whatever the input.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -87,6 +88,12 @@ class WordTokenizer:
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
 
+@functools.cache
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so tasks share the parts met."""
+    return WordTokenizer(path)
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each item, best-fit by falling length.
 
@@ -117,7 +124,7 @@ def _local(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordTokenizer(tokenizer)
+        encoder = tokenizer_at(tokenizer)
         cols: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "crc", *(["ids"] if with_ids else []))}
         for batch in batches:
             ids, texts = batch["id"].tolist(), batch["text"].tolist()
