@@ -2,18 +2,18 @@
 
 A text's set holds the hashes of its distinct word shingles.  Equal sets form
 one class, so exact copies never meet again.  Classes get MinHash signatures,
-bands of them give buckets, and in each bucket
-
-1. every class is paired with the bucket's pivot (its least class),
-2. classes still in other components than a bucket mate are paired with their
-   nearest mates, and
-3. at last with every remaining mate of another component.
-
-Steps 2 and 3 read large buckets in pairs of blocks, so no task holds a bucket
-and none is capped.  Each candidate pair is read in batches of the signature
-and dropped once the posterior chance of a similarity at the threshold falls
-under ``miss``; survivors are verified on the whole sets.  Components are
-joined between the steps, hence pairs inside a component are never expanded.
+bands of them give buckets.  A bucket's pivot is its least class; the buckets
+with one pivot form a gathering.
+
+1. Every class of a gathering is compared with the pivot.
+2. Classes of a gathering that are still in different components are compared
+   with each other, block by block, so no task holds a gathering, none is
+   capped, and only links that join components are given out.
+
+Each candidate pair is read in batches of the signature and dropped once the
+posterior chance of a similarity at the threshold falls under ``miss``;
+survivors are verified on the whole sets.  Pairs inside a component are never
+expanded, and every pair that shares a bucket is covered.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from wordloom.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
-BLOCK = 400
+BLOCK = 256
 WORDS_KEPT = 400_000
 
 
@@ -102,11 +102,11 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
-def _surviving(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal-shaped signatures that no batch prunes, and their matches."""
-    live, got, at = np.arange(len(a)), np.zeros(len(a), np.int32), 0
+def _surviving(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows a[p], b[q] no batch prunes, and their matches."""
+    live, got, at = np.arange(len(p)), np.zeros(len(p), np.int32), 0
     for n, least in bounds:
-        got[live] += (a[live, at:n] == b[live, at:n]).sum(axis=1)
+        got[live] += (a[p[live], at:n] == b[q[live], at:n]).sum(axis=1)
         live, at = live[got[live] >= least], n
     return live, got
 
@@ -116,7 +116,7 @@ def _signatures(values: pd.Series) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, cls, n, sig) of each row; cls and sig are null for an empty set."""
+    """(id, hash, cls, n, sig) of each row; cls and sig are null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, family = _Words(), _family()
@@ -127,10 +127,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
                 n.append(len(z))
                 cls.append(hashlib.blake2b(z.tobytes(), digest_size=16).digest() if len(z) else None)
                 sig.append(signature(z, family) if len(z) else None)
-            yield pd.DataFrame({"id": batch["id"], "cls": cls, "n": n, "sig": sig})
+            yield pd.DataFrame({"id": batch["id"], "hash": batch["hash"], "cls": cls, "n": n, "sig": sig})
 
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, cls binary, n long, sig binary")
+    text = column(docs, text_col).cast("string")
+    rows = docs.select(column(docs, id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    return rows.mapInPandas(run, "id long, hash long, cls binary, n long, sig binary")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
@@ -156,7 +157,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: list,
     def kept(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), bool)
         if len(a):
-            out[_surviving(_signatures(a), _signatures(b), bounds)[0]] = True
+            rows = np.arange(len(a))
+            out[_surviving(_signatures(a), _signatures(b), rows, rows, bounds)[0]] = True
         return pd.Series(out)
 
     @F.pandas_udf("boolean")
@@ -176,46 +178,82 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: list,
     return near.join(z("a"), "a").join(z("b"), "b").where(linked("z_a", "z_b")).select("a", "b")
 
 
-def _mates(rows: DataFrame, bounds: list, nearest: int | None) -> DataFrame:
-    """Unpruned pairs (a, b) of different components within the blocks.
+def _shared(g: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets p with the sets q, pair by pair.
 
-    With ``nearest``, each class gives only its best so many mates.
+    Many pairs go through products of incidence matrices, a bounded piece of
+    the hashes that several sets share at a time.
+    """
+    if len(p) <= 64:
+        return np.array([len(np.intersect1d(g["z"][i], g["z"][j], assume_unique=True)) for i, j in zip(p, q, strict=True)], np.int64)
+    rows, cols = np.unique(p), np.unique(q)
+    used = np.union1d(rows, cols)
+    owner = np.repeat(used, [len(g["z"][i]) for i in used])
+    _, at, n = np.unique(np.concatenate([g["z"][i] for i in used]), return_inverse=True, return_counts=True)
+    owner, at = owner[n[at] > 1], at[n[at] > 1]
+    place = np.full(len(g["z"]), -1)
+    place[used] = np.arange(len(used))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], np.unique(at[order], return_inverse=True)[1]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, (lo, lo + 4096))
+        part = np.zeros((len(used), 4096), np.float32)
+        part[place[owner[i:j]], at[i:j] - lo] = 1
+        both += part[place[rows]] @ part[place[cols]].T
+    return both[np.searchsorted(rows, p), np.searchsorted(cols, q)].astype(np.int64)
+
+
+def _joined(g: dict, bounds: list, percent: int) -> list[tuple[int, int]]:
+    """Links that join components of a block or pair of blocks.
+
+    Unpruned pairs of different components are verified on their whole sets;
+    of those that link, a forest over the components is enough.
     """
+    i, j = np.flatnonzero(g["side"] != 1), np.flatnonzero(g["side"] != 0)  # side 2: both, a block with itself
+    top = {c: c for c in np.unique(g["comp"]).tolist()}
+    size = np.array([len(z) for z in g["z"]])
+    out = []
 
-    def pairs(g: dict) -> np.ndarray:
-        x, y = g["side"] != 1, g["side"] != 0  # side 2: both, a block with itself
-        i, j = np.flatnonzero(x), np.flatnonzero(y)
-        out = []
-        step = max(1, 1_000_000 // max(1, len(j)))
-        for at in range(0, len(i), step):
-            p, q = (v.ravel() for v in np.meshgrid(i[at : at + step], j, indexing="ij"))
-            odd = g["comp"][p] != g["comp"][q]
-            odd &= (g["nid"][p] < g["nid"][q]) | (g["side"][p] != 2)
-            p, q = p[odd], q[odd]
-            live, got = _surviving(g["sig"][p], g["sig"][q], bounds)
-            out.append(np.stack([p[live], q[live], got[live]]))
-        p, q, got = np.concatenate(out, axis=1)
-        if nearest is not None and len(p):
-            ends = np.concatenate([np.stack([p, q, got]), np.stack([q, p, got])], axis=1)
-            order = np.lexsort((g["nid"][ends[1]], -ends[2], ends[0]))
-            ends = ends[:, order]
-            first = np.searchsorted(ends[0], ends[0])
-            ends = ends[:, np.arange(ends.shape[1]) - first < nearest]
-            p, q = ends[0], ends[1]
-        u, v = g["nid"][p], g["nid"][q]
-        return np.stack([np.minimum(u, v), np.maximum(u, v)])
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    step = max(1, 100_000 // max(1, len(j)))
+    for at in range(0, len(i), step):
+        p, q = (v.ravel() for v in np.meshgrid(i[at : at + step], j, indexing="ij"))
+        odd = (g["comp"][p] != g["comp"][q]) & ((g["nid"][p] < g["nid"][q]) | (g["side"][p] != 2))
+        odd &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+        p, q = p[odd], q[odd]
+        live, _ = _surviving(g["sig"], g["sig"], p, q, bounds)
+        apart = [k for k in live if find(int(g["comp"][p[k]])) != find(int(g["comp"][q[k]]))]
+        p, q = p[apart], q[apart]
+        both = _shared(g, p, q)
+        for k in np.flatnonzero(100 * both >= percent * (size[p] + size[q] - both)):
+            u, v = find(int(g["comp"][p[k]])), find(int(g["comp"][q[k]]))
+            if u != v:
+                top[u] = v
+                out.append((int(g["nid"][p[k]]), int(g["nid"][q[k]])))
+    return out
+
+
+def _mates(rows: DataFrame, bounds: list, percent: int) -> DataFrame:
+    """(a, b): verified links between components, from each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def flush() -> pd.DataFrame:
             g = pd.concat(held)
-            out = pairs({"nid": g["nid"].to_numpy(), "comp": g["comp"].to_numpy(), "side": g["side"].to_numpy(), "sig": _signatures(g["sig"])})
-            return pd.DataFrame({"a": out[0], "b": out[1]})
+            block = {c: g[c].to_numpy() for c in ("nid", "comp", "side")}
+            block |= {"sig": _signatures(g["sig"]), "z": [np.frombuffer(z, np.uint64) for z in g["z"]]}
+            return pd.DataFrame(_joined(block, bounds, percent), columns=["a", "b"], dtype=np.int64)
 
         last = None
         for batch in batches:
-            key = (batch["bkey"].to_numpy(), batch["bi"].to_numpy(), batch["bj"].to_numpy())
+            key = (batch["pivot"].to_numpy(), batch["bi"].to_numpy(), batch["bj"].to_numpy())
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1 if len(batch) else []
             for lo, hi in zip([0, *cut], [*cut, len(batch)], strict=True):
                 if lo == hi:
@@ -229,64 +267,83 @@ def _mates(rows: DataFrame, bounds: list, nearest: int | None) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = rows.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    dealt = rows.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold two components, dealt to block pairs."""
-    known = members.join(comp.withColumnRenamed("id", "nid"), "nid", "left").select("bkey", "c", "nid", F.coalesce("root", "nid").alias("comp"))
-    mixed = known.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bkey")
-    rows = known.join(mixed, "bkey", "left_semi").join(nodes.select("nid", "sig"), "nid")
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("nid"), n).cast("int")
-    rows = rows.withColumn("n", n).withColumn("own", own)
+def _blocks(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of gatherings that still hold two components, dealt to block pairs."""
+    known = scratch.table(members.join(comp.withColumnRenamed("id", "nid"), "nid", "left").select("pivot", "nid", F.coalesce("root", "nid").alias("comp")), "known")
+    mixed = known.groupBy("pivot").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c > 2")
+    mixed = scratch.table(mixed.select("pivot", F.ceil(F.col("c") / BLOCK).cast("int").alias("n")), "mixed")
+    rows = known.join(small(mixed, mixed.count()), "pivot").join(nodes.select("nid", "sig"), "nid").join(sets, "nid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = rows.select("bkey", "nid", "comp", "sig", "own", other.alias("other"))
+    rows = rows.select("pivot", "nid", "comp", "sig", "z", "own", other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.select("bkey", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "nid", "comp", "sig", side.alias("side"))
+    return rows.select("pivot", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "nid", "comp", "sig", "z", side.alias("side"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
-    """Each row's near-duplicate group: (id, n_shingles, component_id, kept).
-
-    Texts link when 100 * |intersection| >= percent * |union| of their shingle
-    sets; groups are the connected components.  ``component_id`` is the least
-    id of the group, ``kept`` marks it.  Defined cases: rows without words are
-    groups of their own; repeated rows and ids stay rows of the result; null
-    ids link like others and are the least of a group only if all are null;
-    empty tables give no rows; other columns are not read.  ``miss`` is the
-    chance at which a pair at the threshold may be pruned by its signature.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, percent: int, miss: float) -> DataFrame:
+    """(id, hash of the text, n, top, kept) of each row; top is the least id of the group."""
     bounds = least_matches(percent / 100, miss)
     prints = scratch.table(fingerprints(docs, id_col, text_col, shingle), "prints")
     classes = prints.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     nodes = scratch.table(classes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = nodes.select("nid", F.explode(keys).alias("bkey"))
-    buckets = bands.groupBy("bkey").agg(F.count("*").alias("c"), F.min("nid").alias("pivot"), F.expr("bit_xor(xxhash64(nid))").alias("x")).where("c > 1")
-    buckets = scratch.table(buckets.groupBy("c", "pivot", "x").agg(F.min("bkey").alias("bkey")).select("bkey", "c", "pivot"), "buckets")
-    members = scratch.table(bands.join(buckets, "bkey"), "members")
+    buckets = bands.groupBy("bkey").agg(F.count("*").alias("c"), F.min("nid").alias("pivot")).where("c > 1")
+    buckets = scratch.table(buckets.select("bkey", "pivot"), "buckets")
+    members = scratch.table(bands.join(buckets, "bkey").select("pivot", "nid").distinct(), "members")
     involved = scratch.table(nodes.join(members.select("nid").distinct(), "nid", "left_semi"), "involved")
     sets = scratch.table(_sets(docs, id_col, text_col, shingle, involved), "sets")
 
-    star = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
+    star = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     edges = scratch.table(_verified(star, involved, sets, bounds, percent), "links")
     comp = connected_components(edges, scratch)
-    wide = members.where("c > 2")
-    for nearest in (3, None):
-        mates = _mates(_blocks(wide, comp, involved), bounds, nearest)
-        edges = edges.union(scratch.table(_verified(mates, involved, sets, bounds, percent), "links"))
-        comp = connected_components(edges, scratch)
+    more = scratch.table(_mates(_blocks(members, comp, involved, sets, scratch), bounds, percent), "links")
+    comp = connected_components(edges.union(more), scratch)
     least = comp.join(nodes.select(F.col("nid").alias("id"), "rep"), "id").groupBy("root").agg(F.min("rep").alias("least"))
     placed = comp.join(least, "root").select(F.col("id").alias("nid"), "least")
     place = nodes.join(placed, "nid", "left").select("cls", F.coalesce("least", "rep").alias("least"))
     place = scratch.table(place, "place")
     scratch.drop(members, sets, involved)
-    out = prints.select("id", "cls", "n").join(place, "cls", "left")
+    out = prints.select("id", "hash", "cls", "n").join(place, "cls", "left")
     top = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), top.alias("component_id"), F.col("id").eqNullSafe(top).alias("kept")
-    )
+    return out.select("id", "hash", "n", top.alias("top"), F.col("id").eqNullSafe(top).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """Each row's near-duplicate group: (id, n_shingles, component_id, kept).
+
+    Texts link when 100 * |intersection| >= percent * |union| of their shingle
+    sets; groups are the connected components.  ``component_id`` is the least
+    id of the group, ``kept`` marks it.  Defined cases: rows without words are
+    groups of their own; repeated rows and ids stay rows of the result; null
+    ids link like others and are the least of a group only if all are null;
+    empty tables give no rows; other columns are not read.  ``miss`` is the
+    chance at which a pair at the threshold may be pruned by its signature.
+    """
+    groups = _groups(docs, Scratch(docs.sparkSession, "neardup"), id_col, text_col, shingle, percent, miss)
+    return groups.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("top").alias("component_id"), "kept")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """One row of each group, all columns unchanged.
+
+    The row with the group's least id stays.  Rows that repeat both id and
+    text are one; those that share the least id with other texts all stay, and
+    so do rows without an id in groups that have none.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    groups = scratch.table(_groups(docs, scratch, id_col, text_col, shingle, percent, miss), "groups")
+    key = [F.col("id").alias("__id"), F.col("hash").alias("__hash")]
+    bad = groups.where(~F.col("kept")).select(*key).distinct()
+    again = groups.where("kept").groupBy("id", "hash").count().where("count > 1").select(*key)
+    on = column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col("__hash"))
+    out = docs.join(small(bad, bad.count()), on, "left_anti")
+    n = again.count()
+    if not n:
+        return out
+    once = out.join(small(again, n), on, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(small(again, n), on, "left_anti").unionByName(once)
