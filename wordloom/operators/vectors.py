@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from wordloom.config import Knobs
 from wordloom.functions import vector as fn
+from wordloom.ship import ship
 
 
 def literal_vector(values: Sequence[float]):
@@ -117,6 +118,8 @@ def cluster_incremental(vectors: DataFrame, knobs: Knobs = Knobs()) -> DataFrame
     order, batch by batch; it holds the categories' sums alone.
     """
 
+    ship(vectors.sparkSession)
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clusters = Clusters(knobs.ai_category_threshold, knobs.ai_max_categories_per_doc, knobs.ai_max_categories, members=False)
         for batch in batches:
@@ -129,6 +132,7 @@ def cluster_incremental(vectors: DataFrame, knobs: Knobs = Knobs()) -> DataFrame
 
 def embed(docs: DataFrame, content: str, model: Callable[[list[str]], list[Sequence[float]]], batch: int = 256) -> DataFrame:
     """(id, vector) from a callable that turns texts into vectors, in batches."""
+    ship(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
