@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.ship import ship
+
 #: Words are maximal runs outside these characters (space and U+0009 to U+000D).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -37,6 +39,7 @@ class Scratch:
     """Written tables that cut the lineage, so lost executors cost a reread."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
