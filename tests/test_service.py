@@ -175,3 +175,12 @@ def test_load_test(spark, tmp_path):
     got = {r["mode"]: r for r in load.report(log).collect()}
     assert got["overall"]["n"] == 8 and got["overall"]["errors"] == 0 and len(got) == 5
     assert load.run_batch(spark, tables, asked, k=3).select("query_id").distinct().count() <= 4
+
+
+def test_latency_equals_sorting(spark):
+    rng = random.Random(4)
+    rows = [(m, rng.choice([1.0, 2.5, rng.expovariate(0.1)])) for m in ("a", "b", None) for _ in range(rng.randint(1, 400))] + [("one", 7.0)]
+    got = {r["mode"]: r for r in maintain.latency_stats(spark.createDataFrame(rows, "mode string, v double"), "mode", "v").collect()}
+    for m in ("a", "b", None, "one"):
+        v = sorted(x for k, x in rows if k == m)
+        assert [got[m][f"p{p}"] for p in (50, 95, 99)] == [v[-(-p * len(v) // 100) - 1] for p in (50, 95, 99)]

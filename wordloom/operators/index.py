@@ -95,8 +95,9 @@ class Tables:
     popularity: DataFrame
 
     NAMES = ("documents", "postings", "vocabulary", "prefixes", "deletes", "filters", "popularity")
-    #: What each derived table is sorted by when written, so lookups skip row groups.
-    SORTED = {"postings": "term", "vocabulary": "term", "prefixes": "prefix", "deletes": "key", "filters": "value"}
+    #: What each derived table is sorted and dealt by when written: what looks it
+    #: up, so lookups skip row groups, then what splits a frequent key over files.
+    SORTED = {"postings": ("term", "id"), "vocabulary": ("term",), "prefixes": ("prefix", "rank"), "deletes": ("key", "term"), "filters": ("field", "value", "id")}
 
 
 def build(docs: DataFrame, config: IndexConfig, knobs: Knobs = Knobs()) -> Tables:

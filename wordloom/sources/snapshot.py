@@ -47,7 +47,7 @@ def save(tables: Tables, path: str, derived: bool = True, prefixes: int = Knobs.
 
     def put(name: str, df: DataFrame) -> DataFrame:
         key = tables.SORTED.get(name)
-        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(f"{new}/{name}")
+        (df.repartitionByRange(*key).sortWithinPartitions(*key) if key else df).write.parquet(f"{new}/{name}")
         return spark.read.schema(df.schema).parquet(f"{new}/{name}")
 
     put("documents", tables.documents)
