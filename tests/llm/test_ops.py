@@ -16,8 +16,8 @@ from wordloom.llm import cotrain, entries, licences, mixing, neardup_text, neard
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tick int, __stage string, cls string, `a.b` string, hash long, measures string"
-MORE = (7, 1, "s", "c", "dot", 5, "m")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tick int, __stage string, cls string, `a.b` string, hash long, measures string, __bad long, __hash string, __id int"
+MORE = (7, 1, "s", "c", "dot", 5, "m", 3, "h", 9)
 
 
 def odd_rows():

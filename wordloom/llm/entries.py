@@ -133,3 +133,21 @@ def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_secret_scan"] = oracles.secret_scan_sql()
 ORACLES["op5_quality_rules"] = oracles.quality_rules_sql()
+ORACLES["op8_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT d.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, d.vec_id = r.component_id AS kept
+FROM embeddings d JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) r ON r.id = d.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = d.vec_id
+"""

@@ -48,9 +48,9 @@ def _literal(values: tuple[float, ...]) -> Column:
 
 
 def labelled_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, domain) from quality and toxicity labels; one row for each id."""
+    """(id, domain) from quality and toxicity labels; null where neither tells."""
     one = labels.groupBy(column(labels, id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return one.select("id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean").alias("domain"))
+    return one.select("id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean").alias("domain"))
 
 
 def fit_classifier(docs: DataFrame, domains: DataFrame, names: tuple[str, ...], id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> Mixer:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Scratch, column, small
+from wordloom.llm.common import Scratch, column, own_name, small
 from wordloom.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -337,10 +337,11 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     groups = scratch.table(_groups(docs, scratch, id_col, text_col, shingle, percent, miss), "groups")
-    key = [F.col("id").alias("__id"), F.col("hash").alias("__hash")]
+    names = own_name(docs, "__id"), own_name(docs, "__hash")
+    key = [F.col("id").alias(names[0]), F.col("hash").alias(names[1])]
     bad = groups.where(~F.col("kept")).select(*key).distinct()
     again = groups.where("kept").groupBy("id", "hash").count().where("count > 1").select(*key)
-    on = column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col("__hash"))
+    on = column(docs, id_col).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col(names[1]))
     out = docs.join(small(bad, bad.count()), on, "left_anti")
     n = again.count()
     if not n:

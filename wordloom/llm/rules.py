@@ -172,8 +172,8 @@ def without(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) ->
     Rows meet on id and text, both null-safe, so ids that several texts share
     are judged one by one.
     """
-    bad = verdict.where(~F.col("kept")).select(F.col(id_col).alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    bad = verdict.where(~F.col("kept")).select(column(verdict, id_col).alias(own_name(docs, "__bad")), F.col("text_hash").alias(own_name(docs, "__hash"))).distinct()
     bad = Scratch(docs.sparkSession, "rejected").table(bad)
     bad = small(bad, bad.count())
-    on = column(docs, id_col).eqNullSafe(F.col("__bad")) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col("__hash"))
+    on = column(docs, id_col).eqNullSafe(bad[bad.columns[0]]) & (F.xxhash64(column(docs, text_col).cast("string")) == bad[bad.columns[1]])
     return docs.join(bad, on, "left_anti")
