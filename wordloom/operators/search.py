@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.config import Knobs
-from wordloom.operators.expand import candidates
+from wordloom.operators.expand import BROADCAST_TOKENS, candidates, query_tokens
 from wordloom.operators.index import Tables
 
 FilterSpec = Mapping[str, Sequence[str]]
@@ -37,33 +37,40 @@ def scored(cands: DataFrame, postings: DataFrame) -> DataFrame:
     return both.where("matched = n_groups").select("query_id", "id", "score")
 
 
-def search_batch(queries: DataFrame, tables: Tables, knobs: Knobs = Knobs(), k: int | None = None, filters: FilterSpec | None = None) -> DataFrame:
+def _hits(queries: DataFrame, tables: Tables, knobs: Knobs, filters: FilterSpec | None, few: bool) -> DataFrame:
+    cands = candidates(queries, tables, knobs, few)
+    hits = scored(F.broadcast(cands) if few else cands, tables.postings)
+    return hits.join(allowed_ids(tables.filters, filters), "id", "left_semi") if filters else hits
+
+
+def search_batch(queries: DataFrame, tables: Tables, knobs: Knobs = Knobs(), k: int | None = None, filters: FilterSpec | None = None, few: bool | None = None) -> DataFrame:
     """(query_id, rank, id, score): the best k documents of each (query_id, query).
 
     Ties go to the lesser id.  A query without tokens, or with a group that
-    has no candidate, has no hits.
+    has no candidate, has no hits.  ``few`` tells that the tokens are few
+    enough to broadcast; they are counted where it is not given.
     """
     k = tables.config.result_size if k is None else k
-    hits = scored(candidates(queries, tables, knobs), tables.postings)
-    if filters:
-        hits = hits.join(allowed_ids(tables.filters, filters), "id", "left_semi")
+    if few is None:
+        few = query_tokens(queries).count() <= BROADCAST_TOKENS
+    hits = _hits(queries, tables, knobs, filters, few)
     hits = hits.join(tables.popularity, "id", "left").withColumn("score", F.col("score") + F.coalesce("popularity", F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _one(query: str, tables: Tables) -> DataFrame:
+    return tables.postings.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
+
+
 def search(query: str, tables: Tables, knobs: Knobs = Knobs(), k: int | None = None, filters: FilterSpec | None = None) -> DataFrame:
     """(rank, id, score) of one query."""
-    one = tables.postings.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return search_batch(one, tables, knobs, k, filters).drop("query_id")
+    return search_batch(_one(query, tables), tables, knobs, k, filters, few=len(query) <= BROADCAST_TOKENS).drop("query_id")
 
 
 def any_hits(query: str, tables: Tables, k: int, knobs: Knobs = Knobs(), filters: FilterSpec | None = None) -> DataFrame:
     """Some k matching documents, unranked: the scan may stop early."""
-    one = tables.postings.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    hits = scored(candidates(one, tables, knobs), tables.postings)
-    if filters:
-        hits = hits.join(allowed_ids(tables.filters, filters), "id", "left_semi")
+    hits = _hits(_one(query, tables), tables, knobs, filters, len(query) <= BROADCAST_TOKENS)
     return hits.select("id", "score").limit(k)
 
 

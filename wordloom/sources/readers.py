@@ -70,6 +70,15 @@ def one_document(spark: SparkSession, body: str | Mapping[str, Any]) -> DataFram
     return spark.range(1).select(F.from_json(F.lit(text), schema).alias("d")).select("d.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give few splits, as one row group does.
+
+    Larger inputs have more splits than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def first_seen_vocabulary(docs: DataFrame, order: str, text: str) -> DataFrame:
     """(term, ord, pos): distinct tokens with the place where each is first seen."""
     each = docs.select(F.col(order).alias("ord"), F.posexplode(tokenize(F.col(text))).alias("pos", "term"))
