@@ -316,6 +316,8 @@ def test_mixing_meets_targets(spark, docs, labels):
     assert got.where("(p_clean > 0.5) = (doc_id % 3 <> 0)").count() == 1200
     t = got.agg(*(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in ("clean", "junk")), F.sum("tokens").alias("all")).first()
     assert t["clean"] == pytest.approx(t["all"] / 2, rel=0.01) and t["junk"] == pytest.approx(t["all"] / 2, rel=0.01)
+    part = mixing.report(df, dom, {"clean": 1.0, "junk": 0.25}, budget="shares").agg(*(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in ("clean", "junk"))).first()
+    assert part["clean"] == pytest.approx(800 * 80, rel=0.01) and part["junk"] == pytest.approx(400 * 80 / 4, rel=0.01)
     keep = mixing.mixed(df, dom, {"clean": 0.9, "junk": 0.1}, budget="clean")
     n = Counter(bool(r["doc_id"] % 3) for r in keep.collect())
     assert n[True] == 800 and 60 < n[False] < 120
@@ -324,7 +326,7 @@ def test_mixing_meets_targets(spark, docs, labels):
 def test_mixing_odd_rows(spark, odd, labels):
     dom = mixing.labelled_domains(labels)
     assert mixing.report(odd, dom, entries.TARGETS).count() == 15
-    assert mixing.mixed(odd, dom, entries.TARGETS, budget="clean").columns == odd.columns
+    assert mixing.mixed(odd, dom, entries.TARGETS, budget="shares").columns == odd.columns
     assert mixing.report(odd.limit(0), dom, entries.TARGETS).count() == 0
     assert mixing.report(odd, dom.limit(0), entries.TARGETS).where("rate < 0").count() == 0
 

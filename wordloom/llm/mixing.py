@@ -110,7 +110,8 @@ def fit_rates(cells: DataFrame, mixer: Mixer, targets: dict[str, float], *, budg
     """Projected gradient on ``cells`` (p, tokens), the sums by posterior.
 
     ``budget`` sets the mixed tokens in all: ``total`` keeps as many as there
-    are, the name of a domain keeps that domain's expected tokens.  A domain
+    are, the name of a domain keeps that domain's expected tokens, and with
+    ``shares`` each target is a share of its domain's expected tokens.  A domain
     without tokens can't be met and is left out of the fit.
     """
     names = mixer.domains
@@ -125,7 +126,7 @@ def fit_rates(cells: DataFrame, mixer: Mixer, targets: dict[str, float], *, budg
     total = sum(have)
     if budget in names and have[names.index(budget)] > 0 and want[names.index(budget)] > 0:
         total = have[names.index(budget)] / want[names.index(budget)]
-    goal = [want[i] * total for i in range(len(names))]
+    goal = [want[i] * total for i in range(len(names))] if budget != "shares" else [h * targets.get(n, 0.0) for h, n in zip(have, names, strict=True)]
     scale = [1 / max(goal[i], 1e-3 * total) if i in met else 0.0 for i in range(len(names))]
     # The step is one over a bound of the largest eigenvalue: the largest row sum.
     curve = max(sum(math.sqrt(scale[i] * scale[j]) * float(gram[f"g{i}_{j}"] or 0) for j in range(len(names))) for i in met)
