@@ -40,7 +40,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fitted mixing says; clean tokens stay as many."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixed(docs, labelled_domains(labels), TARGETS, budget="clean")
+    return mixed(docs, labelled_domains(labels), TARGETS, budget="shares")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
