@@ -434,6 +434,16 @@ def test_pseudo_likelihood(spark, odd):
     assert pseudolik.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_every_word(spark):
+    rng = random.Random(6)
+    order = [f"w{i}" for i in range(12)]
+    lines = [["first", *(order[(s + j) % 12] for j in range(7))] for s in (rng.randrange(12) for _ in range(9000))]
+    df = spark.createDataFrame([(i, " ".join(sum(lines[30 * i : 30 * i + 30], []))) for i in range(300)], "doc_id long, text string").repartition(2)
+    got = np.mean([r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()])
+    # Each word's frequency alone gives -2.55; a network that met only every eighth place knows "first" alone.
+    assert got > -1.5
+
+
 def test_pseudo_likelihood_is_the_sum_of_conditionals():
     rng = np.random.default_rng(4)
     model = pseudolik.parts(rng.standard_normal(pseudolik.SIZE).astype(np.float32) * 0.2)

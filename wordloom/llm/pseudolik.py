@@ -3,9 +3,10 @@
 Every word is predicted from the two words on each side.  Words are hashed
 buckets: the most frequent over all documents have a token each, the others
 share a few.  The network (a table per side position, one hidden layer, soft
-maximum over the tokens) is trained in numpy on every partition, at every
-``stride``-th word of every document, and the partitions' parameters are
-averaged by the words they saw, in ``rounds`` passes.  A text's score is the
+maximum over the tokens) is trained in numpy on every partition, at every word
+of every document, and the partitions' parameters are averaged by the words
+they saw, in ``rounds`` passes.  A ``stride`` above one takes every so many
+words only, others in each pass.  A text's score is the
 sum of the log-probabilities of its words, each given both sides.
 """
 
@@ -26,7 +27,9 @@ EDGE = TOKENS - 1
 SIDES = (-2, -1, 1, 2)
 SHAPES = ((len(SIDES), TOKENS, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,))
 SIZE = sum(int(np.prod(s)) for s in SHAPES)
-CHUNK = 4096
+CHUNK = 512
+#: A training batch takes every so many places, as neighbours are alike.
+SPREAD = 8
 WORDS_KEPT = 400_000
 
 
@@ -82,20 +85,21 @@ def train(theta: np.ndarray, line: np.ndarray, at: np.ndarray, rate: float = 0.3
     """Stochastic gradient steps over places of a padded line, in place."""
     model = parts(theta)
     tables, bias, out, prior = model
-    eye = np.eye(TOKENS, dtype=np.float32)
     for lo in range(0, len(at), batch):
         i = at[lo : lo + batch]
         h, z = _forward(model, line, i)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(i)), line[i]] -= 1
-        p /= len(i)
+        p = np.exp(z, out=z)
+        p *= 1 / (len(i) * p.sum(axis=1, keepdims=True))
+        p[np.arange(len(i)), line[i]] -= 1 / len(i)
         dh = (p @ out.T) * (1 - h * h)
         out -= rate * (h.T @ p)
         prior -= rate * p.sum(axis=0)
         bias -= rate * dh.sum(axis=0)
         for k, o in enumerate(SIDES):
-            tables[k] -= 4 * rate * (eye[line[i + o]].T @ dh)
+            side = line[i + o]
+            order = np.argsort(side, kind="stable")
+            first = np.flatnonzero(np.diff(side[order], prepend=side[order[:1]] + 1))
+            tables[k][side[order[first]]] -= 4 * rate * np.add.reduceat(dh[order], first)
 
 
 def _lines(batch: pd.DataFrame, known: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,11 +121,11 @@ def score_line(model: list[np.ndarray], line: np.ndarray, at: np.ndarray) -> np.
         i = at[lo : lo + CHUNK]
         _, z = _forward(model, line, i)
         own = z[np.arange(len(i)), line[i]]
-        out[lo : lo + CHUNK] = own - np.log(np.exp(z).sum(axis=1))
+        out[lo : lo + CHUNK] = own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, stride: int = 8, rounds: int = 1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, stride: int = 1, rounds: int = 1) -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) of each row.
 
     Null, empty and blank texts have no words, 0 and a null mean.  Repeated
@@ -154,7 +158,8 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for batch in batches:
                 for lo in range(0, len(batch), 256):
                     line, at, _ = _lines(batch.iloc[lo : lo + 256], known, tokens)
-                    train(own, line, at[(turn + lo) % stride :: stride])
+                    places = at[turn % stride :: stride]
+                    train(own, line, np.concatenate([places[k::SPREAD] for k in range(SPREAD)]))
                     seen += len(at)
             yield pd.DataFrame({"at": np.arange(SIZE, dtype=np.int32), "v": own.astype(float) * seen, "w": np.full(SIZE, float(seen))})
 
