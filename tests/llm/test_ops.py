@@ -444,6 +444,20 @@ def test_pseudo_likelihood_trains_on_every_word(spark):
     assert got > -1.5
 
 
+def test_pseudo_likelihood_tells_rare_words_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(200)], [f"r{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(200)) + " " + " ".join(rng.choice(rare) for _ in range(100))) for i in range(200)]
+    rows += [(1000, " ".join(rare)), (1001, " ".join(f"once{i}" for i in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()}
+    # A rare word occurs 67 times on average, the others once.
+    assert got[1000] > got[1001] + 3
+    monkeypatch.setattr(pseudolik, "FREQUENT", 250)
+    few = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()}
+    assert few == {k: pytest.approx(v, abs=1e-5) for k, v in got.items()}
+
+
 def test_pseudo_likelihood_is_the_sum_of_conditionals():
     rng = np.random.default_rng(4)
     model = pseudolik.parts(rng.standard_normal(pseudolik.SIZE).astype(np.float32) * 0.2)

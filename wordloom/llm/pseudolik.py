@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood of texts by a bidirectional window network.
 
-Every word is predicted from the two words on each side.  Words are hashed
-buckets: the most frequent over all documents have a token each, the others
-share a few.  The network (a table per side position, one hidden layer, soft
+Every word is predicted from the two words on each side.  The most frequent
+words over all documents have a token each, the others share a few; a word that
+shares a token has, within it, the chance that the corpus' counts give it, and
+the table of these counts holds every distinct word.  The network (a table per side position, one hidden layer, soft
 maximum over the tokens) is trained in numpy on every partition, at every word
 of every document, and the partitions' parameters are averaged by the words
 they saw, in ``rounds`` passes.  A ``stride`` above one takes every so many
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Scratch, column
+from wordloom.llm.common import Scratch, column, small
 
 BUCKETS, TOKENS, RARE, HIDDEN = 1 << 16, 256, 64, 24
 EDGE = TOKENS - 1
@@ -30,28 +31,53 @@ SIZE = sum(int(np.prod(s)) for s in SHAPES)
 CHUNK = 512
 #: A training batch takes every so many places, as neighbours are alike.
 SPREAD = 8
+#: The chances of so many words are held by every task, the others' are joined.
+FREQUENT = 100_000
 WORDS_KEPT = 400_000
 
 
-class _Buckets(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) % BUCKETS
+        value = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = value - (value >> 63 << 64)
         return value
 
 
-def _words(text: str | None, known: dict) -> np.ndarray:
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(known.__getitem__, parts), np.uint16, len(parts))
+def _words(texts: pd.Series, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and words by text."""
+    each = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((known[w] for words in each for w in words), np.int64, n.sum()), n
 
 
-def token_map(counts: np.ndarray) -> np.ndarray:
-    """The token of each bucket: its rank if frequent, else a shared one."""
-    top = np.argsort(-counts, kind="stable")[: EDGE - RARE]
-    out = (EDGE - RARE + np.arange(BUCKETS) % RARE).astype(np.uint8)
-    out[top] = np.arange(len(top))
-    return out
+class Vocabulary:
+    """The most frequent words, sorted by hash, and the words of each token.
+
+    ``top`` holds hashes and counts, the most frequent first; ``shared`` the
+    counts of all words by the token they would share.
+    """
+
+    def __init__(self, top: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+        own = EDGE - RARE
+        order = np.argsort(top)
+        self.top = top[order]
+        self.token = np.where(order < own, order, own + (self.top & (BUCKETS - 1)) % RARE).astype(np.uint8)
+        self.seen = np.zeros(TOKENS)
+        self.seen[own:EDGE] = shared - np.bincount((top[:own] & (BUCKETS - 1)) % RARE, counts[:own], RARE)
+        self.seen[: min(own, len(top))] = counts[:own]
+        self.share = np.log(counts[order]) - np.log(self.seen[self.token])
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words and log-chances within them, NaN if not held."""
+        token = (EDGE - RARE + (words & (BUCKETS - 1)) % RARE).astype(np.uint8)
+        share = np.full(len(words), np.nan)
+        at = np.searchsorted(self.top, words)
+        held = np.flatnonzero(at < len(self.top))
+        held = held[self.top[at[held]] == words[held]]
+        token[held], share[held] = self.token[at[held]], self.share[at[held]]
+        return token, share
 
 
 def initial(counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -102,16 +128,12 @@ def train(theta: np.ndarray, line: np.ndarray, at: np.ndarray, rate: float = 0.3
             tables[k][side[order[first]]] -= 4 * rate * np.add.reduceat(dh[order], first)
 
 
-def _lines(batch: pd.DataFrame, known: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One padded line of all texts, its word places, and words by text."""
-    edge = np.full(2, EDGE, np.uint8)
-    pieces, n = [edge], []
-    for text in batch["text"]:
-        words = tokens[_words(text, known)]
-        pieces += [words, edge]
-        n.append(len(words))
-    line = np.concatenate(pieces)
-    return line, np.flatnonzero(line != EDGE), np.array(n)
+def _line(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One padded line of all texts and its word places."""
+    at = np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(n) + 1), n)
+    line = np.full(len(tokens) + 2 * (len(n) + 1), EDGE, np.uint8)
+    line[at] = tokens
+    return line, at
 
 
 def score_line(model: list[np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,28 +158,34 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sums = _Buckets(), np.zeros(BUCKETS, np.int64)
+        known = _Hashes()
         for batch in batches:
-            for text in batch["text"]:
-                sums += np.bincount(_words(text, known), minlength=BUCKETS) if text and len(text) > BUCKETS else 0
-                if text and len(text) <= BUCKETS:
-                    np.add.at(sums, _words(text, known), 1)
-        has = np.flatnonzero(sums)
-        yield pd.DataFrame({"b": has.astype(np.int32), "n": sums[has]})
-
-    counts = np.zeros(BUCKETS)
-    for r in rows.select("text").mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS
-        counts[r["b"]] = r["n"]
-    tokens = token_map(counts)
-    theta = initial(counts, tokens)
+            words, n = np.unique(_words(batch["text"], known)[0], return_counts=True)
+            yield pd.DataFrame({"word": words, "n": n})
+
+    counts = scratch.table(rows.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    shares = F.pmod(F.col("word").bitwiseAND(BUCKETS - 1), F.lit(RARE)).cast("int")
+    shared = np.zeros(RARE)
+    for r in counts.groupBy(shares.alias("k")).agg(F.sum("n").alias("n")).collect():  # RARE rows
+        shared[r["k"]] = r["n"]
+    step = F.floor(F.log("n") * 16)
+    above, cut = 0, None
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # a few hundred steps
+        if above >= EDGE - RARE and above + r["count"] > FREQUENT:
+            break
+        above, cut = above + r["count"], r["s"]
+    top = counts.where(step >= F.lit(cut)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # at most FREQUENT rows
+    vocabulary = Vocabulary(np.array([r["word"] for r in top], np.int64), np.array([r["n"] for r in top], float), shared)
+    theta = initial(vocabulary.seen, np.arange(TOKENS))
 
     for turn in range(rounds):
 
         def fit(batches: Iterator[pd.DataFrame], theta: np.ndarray = theta, turn: int = turn) -> Iterator[pd.DataFrame]:
-            known, own, seen = _Buckets(), theta.copy(), 0
+            known, own, seen = _Hashes(), theta.copy(), 0
             for batch in batches:
                 for lo in range(0, len(batch), 256):
-                    line, at, _ = _lines(batch.iloc[lo : lo + 256], known, tokens)
+                    words, n = _words(batch["text"].iloc[lo : lo + 256], known)
+                    line, at = _line(vocabulary.find(words)[0], n)
                     places = at[turn % stride :: stride]
                     train(own, line, np.concatenate([places[k::SPREAD] for k in range(SPREAD)]))
                     seen += len(at)
@@ -168,15 +196,21 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             theta[r["at"]] = r["v"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, model = _Buckets(), parts(theta)
+        known, model = _Hashes(), parts(theta)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
-                line, at, n = _lines(part, known, tokens)
-                sums = np.concatenate([[0.0], np.cumsum(score_line(model, line, at))])
-                ends = np.cumsum(n)
-                yield pd.DataFrame({"id": part["id"], "n_words": n, "log_likelihood": np.where(n > 0, sums[ends] - sums[ends - n], 0.0)})
+                words, n = _words(part["text"], known)
+                token, share = vocabulary.find(words)
+                line, at = _line(token, n)
+                row, far = np.repeat(np.arange(len(n)), n), np.isnan(share)
+                sums = np.bincount(row, score_line(model, line, at) + np.where(far, 0.0, share), len(n))
+                yield pd.DataFrame({"id": part["id"], "n_words": n, "sum": sums, "words": np.split(words[far], np.cumsum(np.bincount(row[far], minlength=len(n)))[:-1])})
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInPandas(score, f"id {kind}, n_words long, log_likelihood double")
+    scored = scratch.table(rows.mapInPandas(score, f"id {kind}, n_words long, sum double, words array<long>").withColumn("uid", F.monotonically_increasing_id()), "scored")
+    of_token = F.element_at(F.array(*map(F.lit, vocabulary.seen[EDGE - RARE : EDGE].tolist())), shares + 1)
+    far = scored.select("uid", F.explode("words").alias("word")).join(small(counts, counts.count()), "word")
+    far = far.groupBy("uid").agg(F.sum(F.log(F.col("n") / of_token)).alias("far"))
+    out = scored.drop("words").join(far, "uid", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("far", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_words", "log_likelihood", (F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_likelihood"))
