@@ -402,6 +402,19 @@ def test_quality_beats_chance_on_the_tables(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 
 
+def test_quality_learns_from_every_unlabelled_text(spark):
+    rng = random.Random(9)
+    words = lambda k: " ".join(f"{k}{rng.randrange(40)}" for _ in range(12))
+    rows = [(i, words("g") if i % 2 else words("b") + " ## $$", "en", f"s{i % 2}") for i in range(13_000)] + [(99_999, "xtr", "fr", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4).cache()
+    some = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    # Good texts that a hash sample of about 6000 rows leaves out get a word of their own.
+    left_out = F.pmod(F.xxhash64("doc_id", F.lit("cotrain")), F.lit(1_000_000)) >= 500_000
+    more = df.withColumn("text", F.when(left_out & (F.col("doc_id") >= 400) & (F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 99_999), F.regexp_replace("text", "g1[0-9]", "xtr")).otherwise(F.col("text")))
+    a, b = (cotrain.quality(d, some).where("doc_id = 99999").first()["text_score"] for d in (df, more))
+    assert b > a + 0.05
+
+
 def test_licences(spark):
     rows = [
         (1, "https://x.org/a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),

@@ -3,13 +3,16 @@
 The text view sees the hashed words of a whole text, the page view its
 metadata: language, source, size and layout.  Each round both are trained, and
 each hands the unlabelled texts it is surest of, with its verdict, to the
-other.  Both views are calibrated on labels that no round has seen, and so is
+other.  All unlabelled texts are scored in every round where they lie, and only
+the sums of the sure ones' words by label, with a bound of their curvature, come to
+the driver, which fits them together with the labelled rows.  Both views are calibrated on labels that no round has seen, and so is
 their sum, which scores all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column
-from wordloom.ship import ship
+from wordloom.llm.common import Scratch, column, small
 
-#: The classifiers are fitted on at most about so many labelled rows, and as
-#: many unlabelled ones, taken by the hash of their id.
-MAX_LABELLED, MAX_POOL = 6000, 6000
+#: The classifiers are fitted on at most about so many labelled rows, taken by
+#: the hash of their id, and on all unlabelled ones.
+MAX_LABELLED = 6000
 WORDS_DIM, PAGE_DIM = 1 << 13, 1 << 9
 ROUNDS, SHARE = 4, 0.1
 WORDS_KEPT = 400_000
+#: Scores are counted by steps of one over this, up to FAR either way.
+STEPS, FAR = 64, 40
 
 
 class _Buckets(dict):
@@ -37,13 +41,11 @@ class _Buckets(dict):
 
 
 def text_view(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and their weights, of length one; no words, no entries."""
+    """Hashed words and their counts; no words, no entries."""
     parts = (text or "").encode("utf-8", "surrogatepass").split()
     if not parts:
-        return np.empty(0, np.int64), np.empty(0)
-    at, n = np.unique(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)), return_counts=True)
-    w = np.log1p(n)
-    return at, w * (8 / np.sqrt((w * w).sum()))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)), return_counts=True)
 
 
 def page_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
@@ -71,38 +73,89 @@ def page_view(text: str | None, lang: str | None, source: str | None) -> np.ndar
 
 
 class Rows:
-    """Sparse rows: places, weights and where each row begins."""
+    """Sparse rows: places, weights and the number of entries of each row."""
 
-    def __init__(self, at: list[np.ndarray], w: list[np.ndarray]):
-        self.n = np.array([len(x) for x in at], np.int64)
-        self.at = np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
-        self.w = np.concatenate([*w, np.empty(0)])
-        self.row = np.repeat(np.arange(len(at)), self.n)
+    def __init__(self, at: np.ndarray, w: np.ndarray, n: np.ndarray):
+        self.at, self.w, self.n = at.astype(np.int64), w.astype(float), n
+        self.row = np.repeat(np.arange(len(n)), n)
 
     def dot(self, theta: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.w * theta[self.at], len(self.n)) + theta[-1]
 
+    def sums(self, by_row: np.ndarray, dim: int) -> np.ndarray:
+        """The rows' sum, each times its number; the bias comes last."""
+        return np.append(np.bincount(self.at, self.w * by_row[self.row], dim), by_row.sum())
+
     def take(self, rows: np.ndarray) -> Rows:
-        begin = np.cumsum(self.n) - self.n
-        spans = [slice(begin[r], begin[r] + self.n[r]) for r in rows]
-        return Rows([self.at[s] for s in spans], [self.w[s] for s in spans])
+        """The rows marked true."""
+        own = rows[self.row]
+        return Rows(self.at[own], self.w[own], self.n[rows])
+
+
+def views_of(batch: pd.DataFrame) -> tuple[Rows, Rows]:
+    """Both views of packed rows; a text's weights have length eight."""
+    unpack = lambda c, kind: np.frombuffer(b"".join(batch[c]), kind)
+    size = lambda c: batch[c].map(len).to_numpy(np.int64) // 2
+    text = Rows(unpack("a", np.uint16), np.log1p(unpack("n", np.uint32)), size("a"))
+    text.w *= (8 / np.sqrt(np.bincount(text.row, text.w**2, len(text.n)).clip(1e-9)))[text.row]
+    page = unpack("p", np.uint16)
+    return text, Rows(page, np.ones(len(page)), size("p"))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: Rows, y: np.ndarray, dim: int, steps: int = 120, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and bias by adaptive full gradients."""
+def logistic(x: Rows, y: np.ndarray, dim: int, pool: Pool | None = None, steps: int = 120, ridge: float = 1e-3) -> np.ndarray:
+    """Weights and bias by adaptive full gradients.
+
+    The pool's loss is its quadratic upper bound about no weights, which takes
+    its words' sums by label, and counts at most as much as the labelled rows.
+    """
     theta, grown = np.zeros(dim + 1), np.full(dim + 1, 1e-8)
+    share = min(1.0, len(y) / pool.n) if pool and pool.n else 0.0
     for _ in range(steps if len(y) else 0):
-        off = (_sigmoid(x.dot(theta)) - y) / len(y)
-        g = np.append(np.bincount(x.at, x.w * off[x.row], dim), off.sum()) + ridge * theta
+        g = x.sums(_sigmoid(x.dot(theta)) - y, dim)
+        if share:
+            g += share * (pool.slope + pool.curve * theta)
+        g = g / (len(y) + share * (pool.n if pool else 0)) + ridge * theta
         grown += g * g
         theta -= 0.3 * g / np.sqrt(grown)
     return theta
 
 
+@dataclass
+class Pool:
+    """Sums over a view's pseudo-labelled rows: gradient and curvature bound."""
+
+    slope: np.ndarray
+    curve: np.ndarray
+    n: float
+
+
+def pseudo_labels(views: tuple[Rows, Rows], past: list) -> list[np.ndarray]:
+    """The label each view got from the other in the rounds past, else -1."""
+    own = [np.full(len(x.n), -1) for x in views]
+    for thetas, cuts in past:
+        for k, x in enumerate(views):
+            z, free = x.dot(thetas[k]), own[1 - k] < 0
+            own[1 - k][free & (z >= cuts[k][1])] = 1
+            own[1 - k][free & (z < cuts[k][0])] = 0
+    return own
+
+
+def surest(counts: np.ndarray, good: int, bad: int) -> tuple[float, float]:
+    """Scores below and from which about so many rows are surely bad or good.
+
+    ``counts`` has the rows of each step of scores; a step is taken whole.
+    """
+    above, below = np.cumsum(counts[::-1])[::-1], np.cumsum(counts)
+    edge = np.arange(len(counts)) / STEPS - FAR
+    high = edge[max(0, int((above >= good).sum()) - 1)] if good else FAR + 1
+    low = edge[min(len(edge) - 1, int((below < bad).sum()))] + 1 / STEPS if bad else -FAR - 1
+    return min(-1.0, low), max(1.0, high)
+
+
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's slope and shift; the identity without both classes."""
     if len(y) < 10 or y.min() == y.max():
@@ -119,48 +172,66 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def cotrain(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> dict:
+DIMS = (WORDS_DIM, PAGE_DIM)
+
+
+def cotrain(labelled: pd.DataFrame, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> dict:
     """Both views' weights and calibrations.
 
-    ``y`` is 1, 0 or -1 for unlabelled rows; ``held`` marks the labelled rows
-    kept for calibration.  In a round a view gives at most ``share`` of the
-    pool, in the classes' proportion.
+    Both tables hold packed rows.  The labelled rows whose ``u`` is 0 are kept
+    for calibration.  In a round a view gives about ``share`` of the pool, in
+    the classes' proportion.
     """
-    dims = (WORDS_DIM, PAGE_DIM)
-    own = [np.where(held, -1, y) for _ in views]
-    pool = y < 0
-    good = float((y == 1).sum() / max(1, (y >= 0).sum()))
-    thetas = []
+    views, y, held = views_of(labelled), labelled["y"].to_numpy(), labelled["u"].to_numpy() == 0
+    known, goal = [x.take(~held) for x in views], y[~held]
+    n = int(share * pool.count())
+    part = round(n * float(y.mean()))
+    pools: list[Pool | None] = [None, None]
+    past: list = []
     for turn in range(rounds + 1):
-        thetas = []
-        for k, x in enumerate(views):
-            rows = np.flatnonzero(own[k] >= 0)
-            thetas.append(logistic(x.take(rows), own[k][rows], dims[k]))
-        if turn == rounds:
+        thetas = [logistic(x, goal, dim, p) for x, dim, p in zip(known, DIMS, pools, strict=True)]
+        if turn == rounds or not n:
             break
-        for k, x in enumerate(views):
-            other = 1 - k
-            free = np.flatnonzero(pool & (own[other] < 0))
-            z = x.dot(thetas[k])[free]
-            n = int(share * pool.sum())
-            for label, part in ((1, round(n * good)), (0, n - round(n * good))):
-                order = np.argsort(-z if label else z, kind="stable")[:part]
-                sure = order[(z[order] > 1) if label else (z[order] < -1)]
-                own[other][free[sure]] = label
-    rows = np.flatnonzero(held & (y >= 0))
-    z = [x.dot(t)[rows] for x, t in zip(views, thetas, strict=True)]
-    scales = [calibrate(v, y[rows]) for v in z]
-    both = sum(a * v + b for (a, b), v in zip(scales, z, strict=True))
-    return {"thetas": thetas, "scales": scales, "joint": calibrate(both, y[rows])}
-
 
-def _part(batch: pd.DataFrame, known: dict) -> tuple[Rows, Rows]:
-    words = [text_view(t, known) for t in batch["text"]]
-    page = [page_view(t, a, b) for t, a, b in zip(batch["text"], batch["lang"], batch["source"], strict=True)]
-    return Rows([a for a, _ in words], [w for _, w in words]), Rows(page, [np.ones(len(p)) for p in page])
+        def count(batches: Iterator[pd.DataFrame], thetas: list = thetas, past: list = tuple(past)) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((2, 2 * FAR * STEPS), np.int64)
+            for batch in batches:
+                both = views_of(batch)
+                own = pseudo_labels(both, past)
+                for k, x in enumerate(both):
+                    z = x.dot(thetas[k])[own[1 - k] < 0]
+                    sums[k] += np.bincount(np.floor((z.clip(-FAR, FAR - 1e-9) + FAR) * STEPS).astype(int), minlength=2 * FAR * STEPS)
+            k, at = np.nonzero(sums)
+            yield pd.DataFrame({"k": k, "at": at, "n": sums[k, at]})
+
+        counts = np.zeros((2, 2 * FAR * STEPS), np.int64)
+        for r in pool.mapInPandas(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():  # at most the steps
+            counts[r["k"], r["at"]] = r["n"]
+        past.append((thetas, [surest(c, part, n - part) for c in counts]))
+
+        def slopes(batches: Iterator[pd.DataFrame], past: list = tuple(past)) -> Iterator[pd.DataFrame]:
+            sums, seen = [np.zeros((2, d + 1)) for d in DIMS], [0, 0]
+            for batch in batches:
+                both = views_of(batch)
+                for k, (x, own) in enumerate(zip(both, pseudo_labels(both, past), strict=True)):
+                    x, own = x.take(own >= 0), own[own >= 0]
+                    length = np.bincount(x.row, x.w, len(own)) + 1
+                    sums[k] += x.sums(0.5 - own, DIMS[k]), x.sums(length / 4, DIMS[k])
+                    seen[k] += len(own)
+            for k, d in enumerate(DIMS):
+                yield pd.DataFrame({"k": k, "at": np.arange(-1, d + 1), "g": np.append(seen[k], sums[k][0]), "h": np.append(seen[k], sums[k][1])})
+
+        got = pool.mapInPandas(slopes, "k int, at int, g double, h double").groupBy("k", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas().sort_values("at")  # both DIMS
+        for k in (0, 1):
+            g, h = (got.loc[got["k"] == k, c].to_numpy() for c in "gh")
+            pools[k] = Pool(g[1:], h[1:], g[0])
+    z = [x.take(held).dot(t) for x, t in zip(views, thetas, strict=True)]
+    scales = [calibrate(v, y[held]) for v in z]
+    both = sum(a * v + b for (a, b), v in zip(scales, z, strict=True))
+    return {"thetas": thetas, "scales": scales, "joint": calibrate(both, y[held])}
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(id, text_score, page_score, score, kept) of each row: chances of good.
 
     ``kept`` is a score of at least a half.  Null and empty texts are scored
@@ -168,50 +239,40 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     are scored each; labels repeated for an id count once, as good if any is;
     with no labels every score is a half; empty tables give no rows.
     """
-    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "cotrain")
     rows = docs.select(*(column(docs, c).cast(k).alias(n) for c, k, n in ((id_col, docs.schema[id_col].dataType.simpleString(), "id"), (text_col, "string", "text"), (lang_col, "string", "lang"), (source_col, "string", "source"))))
     known_labels = labels.where(F.col(label_col).isNotNull()).groupBy(column(labels, id_col).alias("id")).agg(F.max(label_col).alias("y"))
     under = lambda limit, count: F.pmod(F.xxhash64("id", F.lit("cotrain")), F.lit(1_000_000)) < int(min(1.0, limit / max(count, 1)) * 1_000_000)
-    chosen = known_labels.where(under(max_labelled, known_labels.count()))
-    labelled = rows.join(F.broadcast(chosen), "id")
-    pool = rows.where(under(max_pool, rows.select("id").count())).join(known_labels.select("id"), "id", "left_anti").withColumn("y", F.lit(-1))
+    total = known_labels.count()
+    known_labels = known_labels.select("id", F.when(under(max_labelled, total), F.col("y")).otherwise(-2).cast("int").alias("y"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Buckets()
         for batch in batches:
-            words, page = _part(batch, known)
-            cut = np.cumsum(words.n)[:-1]
+            words = [text_view(t, known) for t in batch["text"]]
+            page = [page_view(t, a, b) for t, a, b in zip(batch["text"], batch["lang"], batch["source"], strict=True)]
             yield pd.DataFrame({
-                "y": batch["y"], "u": batch["u"],
-                "a": [v.astype(np.uint16).tobytes() for v in np.split(words.at, cut)], "w": [v.astype(np.float32).tobytes() for v in np.split(words.w, cut)],
-                "p": [v.astype(np.uint16).tobytes() for v in np.split(page.at, np.cumsum(page.n)[:-1])],
+                "id": batch["id"],
+                "a": [a.astype(np.uint16).tobytes() for a, _ in words], "n": [n.astype(np.uint32).tobytes() for _, n in words],
+                "p": [p.astype(np.uint16).tobytes() for p in page],
             })
 
-    sample = labelled.select("id", "text", "lang", "source", F.col("y").cast("int").alias("y")).unionByName(pool.select("id", "text", "lang", "source", "y"))
-    sample = sample.withColumn("u", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(4)).cast("int"))
-    got = sample.mapInPandas(features, "y int, u int, a binary, w binary, p binary").toPandas()  # a bounded sample
-    got = got.sort_values(["y", "u", "p", "a"], kind="stable") if len(got) else got
-    model = None
-    if (got["y"] >= 0).any():
-        views = (
-            Rows([np.frombuffer(b, np.uint16) for b in got["a"]], [np.frombuffer(b, np.float32) for b in got["w"]]),
-            Rows([np.frombuffer(b, np.uint16) for b in got["p"]], [np.ones(len(b) // 2) for b in got["p"]]),
-        )
-        y = got["y"].to_numpy()
-        model = cotrain(views, y, (got["u"].to_numpy() == 0) & (y >= 0))
+    kind = rows.schema["id"].dataType.simpleString()
+    packed = rows.mapInPandas(features, f"id {kind}, a binary, n binary, p binary").join(small(known_labels, total), "id", "left")
+    packed = scratch.table(packed.withColumn("y", F.coalesce("y", F.lit(-1))), "packed")
+    labelled = packed.where("y >= 0").select("y", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(4)).cast("int").alias("u"), "a", "n", "p").toPandas()  # about max_labelled rows
+    model = cotrain(labelled.sort_values(["y", "u", "p", "a"], kind="stable"), packed.where("y = -1").select("a", "n", "p")) if len(labelled) else None
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Buckets()
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
                 if model is None:
                     yield pd.DataFrame({"id": part["id"], "text_score": 0.5, "page_score": 0.5, "score": 0.5})
                     continue
-                z = [a * x.dot(t) + b for x, t, (a, b) in zip(_part(part, known), model["thetas"], model["scales"], strict=True)]
+                z = [a * x.dot(t) + b for x, t, (a, b) in zip(views_of(part), model["thetas"], model["scales"], strict=True)]
                 a, b = model["joint"]
                 yield pd.DataFrame({"id": part["id"], "text_score": _sigmoid(z[0]), "page_score": _sigmoid(z[1]), "score": _sigmoid(a * (z[0] + z[1]) + b)})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInPandas(score, f"id {kind}, text_score double, page_score double, score double")
+    out = packed.select("id", "a", "n", "p").mapInPandas(score, f"id {kind}, text_score double, page_score double, score double")
     return out.withColumn("kept", F.col("score") >= 0.5).withColumnRenamed("id", id_col)
