@@ -434,6 +434,18 @@ def test_licences(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licence_statements_across_lines_and_tags(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    rows = [
+        (1, "u.org/a", '<p>Licensed under <a href="/x">CC BY 4.0</a>.</p>'), (2, "u.org/b", f"<pre>{gpl.format(3)}</pre>"),
+        (3, "u.org/c", '<a rel="license" href="https://creativecommons.org/licenses/by-sa/4.0/"><img src="i.png"></a>'),
+        (4, "u.org/d", '<p>Text</p><link rel="license" href="https://www.gnu.org/licenses/gpl-3.0.html">'),
+        (5, "u.org/e", '<a rel="license" href="/legal">terms</a>'),
+    ]
+    got = {r["page_id"]: r["licence"] for r in licences.licences(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "CC-BY-4.0", 2: "GPL-3.0", 3: "CC-BY-SA-4.0", 4: "GPL-3.0", 5: None}
+
+
 def test_pseudo_likelihood(spark, odd):
     rng = random.Random(2)
     order = [f"w{i}" for i in range(12)]

@@ -1,6 +1,6 @@
 """Licences of pages: TF-IDF cosine to templates, then inheritance by path.
 
-Header windows around cue words, and whole licence files, are compared with
+Statements around cue words, links to licences and whole licence files are compared with
 short templates as sparse TF-IDF vectors; the document frequencies come from
 all windows.  A file without a licence of its own takes that of its nearest
 ancestor directory, where a directory's licence is declared by a licence file
@@ -41,6 +41,23 @@ _CUE = re.compile(r"licen[sc]ed?\b|\breleased\s+under\b|\ball\s+rights\s+reserve
 _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^<>]*>", re.I | re.S)
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _FILE = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
+#: Tags within a sentence, line breaks, links and the ends of sentences.
+_INLINE = re.compile(r"</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var|wbr)\b|<!--", re.I)
+_BREAK = re.compile(r"</?br\b", re.I)
+_LINK = re.compile(r"<(?:a|link|area)\s[^<>]*>", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_REL = re.compile(r"""\brel\s*=\s*(?:"[^"]*\blicense\b|'[^']*\blicense\b|license\b)""", re.I)
+_CC = re.compile(r"creativecommons\.org/(?:licenses|publicdomain)/", re.I)
+_ADDRESS = {
+    name: re.compile(at, re.I)
+    for name, at in {
+        "MIT": r"/mit(?:-license|\.\w+)?/?$", "Apache-2.0": r"apache.*2\.0", "LGPL-3.0": r"\blgpl-3", "AGPL-3.0": r"\bagpl-3", "GPL-3.0": r"\bgpl-3", "GPL-2.0": r"\bgpl-2",
+        "BSD-3-Clause": r"/bsd-3-clause", "MPL-2.0": r"\bmpl[/-]2\.0", "CC-BY-4.0": r"creativecommons\.org/licenses/by/4\.0", "CC-BY-SA-4.0": r"creativecommons\.org/licenses/by-sa/4\.0",
+        "CC-BY-NC-4.0": r"creativecommons\.org/licenses/by-nc/4\.0", "CC0-1.0": r"creativecommons\.org/publicdomain/zero/1\.0",
+    }.items()
+}
+_END = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])")
+#: The words near a cue, where its whole sentence is like no template.
 BEFORE, AFTER = 60, 160
 
 
@@ -48,19 +65,53 @@ def terms(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
-def windows(text: str | None, whole: bool) -> list[str]:
-    """Header windows of a page: sentences from each cue on, tags removed.
+def linked(url: str) -> str | None:
+    """The licence that an address names, if it has templates."""
+    return next((name for name, at in _ADDRESS.items() if at.search(url)), None)
 
-    A licence file is one window, its whole text.
+
+def windows(text: str | None, whole: bool) -> list[list[str]]:
+    """Licence statements of a page, each with the texts that may stand for it.
+
+    A statement is a run of sentences with cues in one paragraph, across line
+    breaks and inline tags; the run and each sentence stand for it, and in the
+    last place, where these say nothing, the words near each cue.  A link to a
+    licence stands for the licence's first template.  A licence file is one statement, its whole text.
     """
-    plain = html.unescape(_TAG.sub("\n", text or ""))
+    text = (text or "").replace("\0", " ").replace("\1", " ").replace("\2", " ")
+    plain = html.unescape(_TAG.sub(lambda m: "" if _INLINE.match(m[0]) else "\n" if _BREAK.match(m[0]) else "\n\n", text))
     if whole:
-        return [plain]
+        return [[plain, ""]]
+    out = []
+    for m in _LINK.finditer(text):
+        url = _HREF.search(m[0])
+        if url and (_REL.search(m[0]) or _CC.search(m[0])):
+            name = linked(html.unescape(url[1].strip("\"'")))
+            out += [[TEMPLATES[name][0], ""]] if name else []
+    if not _CUE.search(plain):
+        return out
+    for paragraph in re.split(r"\n\s*\n", plain):
+        if not _CUE.search(paragraph):
+            continue
+        runs: list[list[str]] = [[]]
+        for sentence in _END.split(paragraph):
+            if _CUE.search(sentence):
+                runs[-1].append(sentence)
+            elif runs[-1]:
+                runs.append([])
+        for run in filter(None, runs):
+            near = [x for sentence in run for x in close(sentence)]
+            out.append(["\1".join([" ".join(run), *run] if len(run) > 1 else run), "\1".join(x for x in near if x not in run)])
+    return out
+
+
+def close(plain: str) -> list[str]:
+    """The words near each cue, within its line."""
     out, last = [], -1
     for m in _CUE.finditer(plain):
         if m.start() < last:
             continue
-        lo = max(plain.rfind("\n", 0, m.start()), plain.rfind(". ", 0, m.start()), m.start() - BEFORE) + 1
+        lo = max(plain.rfind("\n", 0, m.start()), m.start() - BEFORE) + 1
         hi = plain.find("\n", m.end())
         last = min(hi if hi >= 0 else len(plain), m.end() + AFTER)
         out.append(plain[max(lo, 0) : last])
@@ -123,7 +174,7 @@ def licences(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", t
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = ["\0".join(windows(t, f)) for t, f in zip(batch["text"], batch["is_file"], strict=True)]
+            found = ["\0".join(map("\2".join, windows(t, f))) for t, f in zip(batch["text"], batch["is_file"], strict=True)]
             yield batch.drop(columns="text").assign(found=found)
 
     found = scratch.table(rows.mapInPandas(gather, f"id {kind}, dir string, is_file boolean, is_index boolean, found string").withColumn("uid", F.monotonically_increasing_id()), "windows")
@@ -134,7 +185,7 @@ def licences(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", t
         wanted, sums, total = set(vocabulary), Counter(), 0
         for batch in batches:
             for joined in batch["found"]:
-                for window in joined.split("\0") if joined else ():
+                for window in re.split("[\0\1]", re.sub("\2[^\0]*", "", joined)) if joined else ():
                     total += 1
                     sums.update(wanted.intersection(terms(window)))
         yield pd.DataFrame({"term": ["", *sums], "n": [total, *sums.values()]})
@@ -142,10 +193,14 @@ def licences(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", t
     seen = {r["term"]: r["n"] for r in found.select("found").mapInPandas(frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms
     total = seen.pop("", 0)
 
+    def stands(matcher: Matcher, statement: str) -> tuple[str | None, float]:
+        whole, near = (max(map(matcher.best, x.split("\1")), key=lambda b: b[1]) for x in statement.split("\2"))
+        return whole if whole[1] >= least else max(whole, near, key=lambda b: b[1])
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(seen, total)
         for batch in batches:
-            best = [max((matcher.best(w) for w in x.split("\0")), key=lambda b: b[1]) if x else (None, 0.0) for x in batch["found"]]
+            best = [max((stands(matcher, w) for w in x.split("\0")), key=lambda b: b[1]) if x else (None, 0.0) for x in batch["found"]]
             own = [n if c >= least else None for n, c in best]
             yield batch.drop(columns="found").assign(licence=own, cosine=[c if n is not None else None for n, (_, c) in zip(own, best, strict=True)])
 
