@@ -147,6 +147,14 @@ def test_secret_redaction(spark, docs):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_redaction_reaches_within_runs(spark):
+    key, path = "wJ9rXUt7FEMIq3K7MDbPxRfiCYzV8Lm2Qa5Td0Ke", "internal/documents/services/responsibilities/configuration/management/application/"
+    texts = ["AKIA" + "Q1W2E3R4T5Y6U7I8" + "/" + key + " end", "0f" * 12 + "_" + key, path + key, f"{path}{key}/{path}{key}", path * 2 + "handler"]
+    out = [r["text"] for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+    assert not any(key[a : a + 8] in t for t in out for a in range(len(key) - 7))
+    assert out[2] == path + "[SECRET]" and out[3] == f"{path}[SECRET]/{path}[SECRET]" and out[4] == texts[4]
+
+
 # Quality rules
 
 

@@ -29,6 +29,7 @@ ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+LEAST_RUN = 20
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 SCALE = 1000
 #: A run is a secret above this much evidence in all and for each character.
@@ -88,12 +89,56 @@ def train(samples: Iterable[tuple[str, bool]]) -> list[int]:
     return [round(SCALE * math.log(r / o)) for r, o in zip(*chains, strict=True)]
 
 
-def score(run: Column, table: Column) -> Column:
-    """The summed ratio of a run of ALPHABET characters, times SCALE."""
+def _cells(run: Column, table: Column) -> Column:
+    """The ratio of each pair in a run of ALPHABET characters, times SCALE."""
     codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
     n = F.size(codes) - 1
-    cell = F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
-    return F.aggregate(cell, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
+
+
+def score(run: Column, table: Column) -> Column:
+    """The summed ratio of a run of ALPHABET characters, times SCALE."""
+    return F.aggregate(_cells(run, table), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def stretches(run: Column, table: Column) -> Column:
+    """Structs (from, to) of the secrets within a run, the end exclusive.
+
+    A stretch gathers evidence beyond LEAST_EACH for each character and ends
+    at its highest sum, once that falls to nothing or by LEAST_NATS.  It needs
+    LEAST_NATS in all, and is widened to the signs around it.
+    """
+    least, each = int(LEAST_NATS * SCALE), int(LEAST_EACH * SCALE)
+    made = lambda i, s, since, best, to, out: F.struct(i.alias("i"), s.alias("s"), since.alias("since"), best.alias("best"), to.alias("to"), out.alias("out"))
+    whole, none = F.lit(0).cast("long"), F.array().cast("array<struct<from:int,to:int>>")
+
+    def told(acc: Column) -> Column:
+        enough = acc["best"] + each * (acc["to"] - acc["since"]) >= least
+        return F.when(enough, F.array_append(acc["out"], F.struct(acc["since"].alias("from"), acc["to"].alias("to")))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["s"] + x - each
+        more = made(acc["i"] + 1, s, acc["since"], F.greatest(acc["best"], s), F.when(s > acc["best"], acc["i"] + 2).otherwise(acc["to"]), acc["out"])
+        return F.when((s <= 0) | (acc["best"] - s >= least), made(acc["i"] + 1, whole, acc["i"] + 1, whole, acc["i"] + 1, told(acc))).otherwise(more)
+
+    found = F.aggregate(_cells(run, table), made(F.lit(0), whole, F.lit(0), whole, F.lit(0), none), step, told)
+    before = lambda m: F.length(F.regexp_extract(F.substring(run, F.lit(1), m["from"]), r"[A-Za-z0-9+]*$", 0))
+    after = lambda m: F.length(F.regexp_extract(F.substring(run, m["to"] + 1, F.length(run)), r"^[A-Za-z0-9+]*", 0))
+    wide = F.transform(found, lambda m: F.struct((m["from"] - before(m)).alias("from"), (m["to"] + after(m)).alias("to")))
+    return F.filter(wide, lambda m: m["to"] - m["from"] >= LEAST_RUN)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by as many blanks."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(m["end"] - F.greatest(acc["at"], m["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    whole = F.aggregate(F.sort_array(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _starts(text: Column, pattern: str, found: Column) -> Column:
@@ -114,13 +159,15 @@ def _spans(text: Column, kind: int, pattern: str, value: int) -> Column:
     return F.when(text.rlike(pattern), out).otherwise(empty)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", *, samples: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", *, samples: Iterable[tuple[str, bool]] | None = None, parts: bool = False) -> DataFrame:
     """All columns of ``docs`` and an array of (start, kind, end) structs.
 
     ``kind`` indexes KINDS; starts and ends are code points, the end exclusive.
     Fixed spans are leftmost and non-overlapping within their kind and stay
     whatever the models say; random spans never overlap fixed ones.  Null and
     empty texts have none; every row is scanned whole, repeated rows each.
+    With ``parts``, what fixed spans leave of a run is a run of its own, and a
+    run that is no secret as a whole may hold some.
     """
     stage = own_name(docs, "__stage")
     table = F.split(F.lit(",".join(map(str, train(list(samples or default_samples()))))), ",").cast("array<int>")
@@ -128,7 +175,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets",
     out = docs.withColumn(stage, F.struct(text.alias("t"), _spans(text, 0, ASSIGN, 2).alias("a"), _spans(text, 1, ACCESS_LONG, 0).alias("b"), _spans(text, 2, HEX_LONG, 0).alias("c"), _spans(text, 3, RUN, 0).alias("d")))
     x = F.col(stage)
     fixed = F.concat(F.filter(x["a"], lambda m: F.length(m["value"]) >= ASSIGN_LEAST), x["b"], x["c"])
-    out = out.withColumn(stage, F.struct(fixed.alias("fixed"), x["d"].alias("runs")))
+    if parts:
+        out = out.withColumn(stage, F.struct(fixed.alias("fixed"), _blanked(x["t"], fixed).alias("t")))
+        out = out.withColumn(stage, F.struct(x["fixed"].alias("fixed"), _spans(x["t"], 3, RUN, 0).alias("runs")))
+    else:
+        out = out.withColumn(stage, F.struct(fixed.alias("fixed"), x["d"].alias("runs")))
     x = F.col(stage)
 
     def is_random(run: Column) -> Column:
@@ -136,7 +187,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets",
         return free & (score(run["value"], table) >= F.greatest(F.lit(int(LEAST_NATS * SCALE)), F.length(run["value"]) * int(LEAST_EACH * SCALE)))
 
     bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"], m["kind"], m["end"]))
-    spans = F.sort_array(F.concat(bare(x["fixed"]), bare(F.filter(x["runs"], is_random))))
+    found = bare(F.filter(x["runs"], is_random))
+    if parts:
+        inner = lambda m: F.transform(stretches(m["value"], table), lambda p: F.struct((m["start"] + p["from"]).alias("start"), m["kind"], (m["start"] + p["to"]).alias("end")))
+        found = F.flatten(F.transform(x["runs"], lambda m: F.when(is_random(m), F.array(F.struct(m["start"], m["kind"], m["end"]))).otherwise(inner(m))))
+    spans = F.sort_array(F.concat(bare(x["fixed"]), found))
     return out.withColumn(stage, spans).withColumnRenamed(stage, into)
 
 
@@ -165,7 +220,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     Overlapping spans are one.  Columns, rows and nulls stay as they are.
     """
     name = own_name(docs, "__secrets")
-    found = find_secrets(docs, text_col, name)
+    found = find_secrets(docs, text_col, name, parts=True)
     text, spans = column(found, text_col), F.col(name)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
