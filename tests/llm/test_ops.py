@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -460,13 +462,71 @@ def test_pseudo_likelihood(spark, odd):
     rows = [(i, " ".join(order[(i + j) % 12] for j in range(240))) for i in range(300)]
     rows += [(1000 + i, " ".join(rng.choice(order) for _ in range(240))) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df, stride=2, rounds=2).collect()}
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()}
     assert np.mean([v for k, v in got.items() if k < 1000]) > np.mean([v for k, v in got.items() if k >= 1000]) + 1
     out = pseudolik.pseudo_likelihood(odd).collect()
     assert Counter(r["n_words"] for r in out)[0] == 3 and all(r["mean_log_likelihood"] is None for r in out if not r["n_words"])
     assert pseudolik.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def ascii_words(text):
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def test_pseudo_likelihood_finds_the_words(odd, monkeypatch):
+    rng = random.Random(1)
+    texts = [r["text"] for r in odd.collect()] + ["".join(rng.choices("abCÉ \n\t\x1c\x0b.é0", k=rng.randint(0, 300))) for _ in range(200)] + ["x" * 5000, "y" * 3000 + " z"]
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(pseudolik, "SCAN", size)
+        hashes, tails, n = pseudolik._scanned(pa.array(texts))
+        words = [w for t in texts for w in ascii_words(t)]
+        assert n.tolist() == [len(ascii_words(t)) for t in texts] and len(hashes) == len(words)
+        assert len(set(zip(hashes.tolist(), words, strict=True))) == len(set(words)) == len(set(hashes.tolist())) and hashes.min() >= 0
+        assert [t.to_bytes(4, "little").rstrip(b"\0") for t in tails.tolist()] == [w[-3:][::-1] for w in words]
+
+
+def test_pseudo_likelihood_equals_brute_force(spark, docs, tmp_path):
+    """The query's rows, each word's chance computed alone from its own settings."""
+    from wordloom.llm.common import Scratch
+
+    counts, vocabulary, theta = pseudolik.fit(docs.select("text"), Scratch(spark, "test"))
+    m, rows = pseudolik.parts(theta, pseudolik.layout_of(vocabulary.seen)), docs.collect()
+    n = Counter(w for r in rows for w in ascii_words(r["text"]))
+    assert Counter(r["n"] for r in counts.collect()) == Counter(n.values())
+    names = sorted(n)
+    hashes, tails, _ = pseudolik._scanned(pa.array([w.decode("utf-8", "surrogatepass") for w in names]))
+    token = dict(zip(names, vocabulary.find(hashes, tails)[0].tolist(), strict=True))
+    total = Counter()
+    for w in names:
+        total[token[w]] += n[w]
+
+    def chances(around):
+        a = sum(m["tables"][k][t].astype(float) for k, t in enumerate(around)) + m["bias"]
+        h = a / (1 + np.abs(a))
+        soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p = soft(h @ m["w1"] + m["b1"])
+        within = [soft(h @ m["w2"][g] + m["b2"][g]) for g in range(pseudolik.GROUPS)]
+        return lambda t: p[m["group"][t]] * within[m["group"][t]][m["member"][t]]
+
+    got = {r["doc_id"]: r for r in pseudolik.pseudo_likelihood(docs).collect()}
+    for r in sorted(rows, key=lambda r: len(r["text"]))[:60]:
+        words = ascii_words(r["text"])
+        line = [pseudolik.EDGE] * 2 + [token[w] for w in words] + [pseudolik.EDGE] * 2
+        sums = sum(math.log(chances([line[i + 2 + o] for o in pseudolik.SIDES])(token[w])) + math.log(n[w] / total[token[w]]) for i, w in enumerate(words))
+        assert got[r["doc_id"]]["n_words"] == len(words) and got[r["doc_id"]]["log_likelihood"] == pytest.approx(sums, rel=1e-4, abs=1e-3)
+    one = chances([3, 700, pseudolik.EDGE, 5])
+    assert sum(one(token[w]) * n[w] / total[token[w]] for w in names) + sum(one(t) for t in range(pseudolik.TOKENS) if t not in total) == pytest.approx(1, abs=1e-4)
+
+
+def test_pseudo_likelihood_beats_word_frequency(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = Counter(w for r in docs.select("text").collect() for w in ascii_words(r["text"]))
+    total = sum(n.values())
+    alone = sum(c * math.log(c / total) for c in n.values()) / total
+    got = pseudolik.pseudo_likelihood(docs).agg(F.sum("log_likelihood"), F.sum("n_words")).first()
+    assert got[1] == total and got[0] / total > alone + 0.5
+
+
 def test_pseudo_likelihood_trains_on_every_word(spark):
     rng = random.Random(6)
     order = [f"w{i}" for i in range(12)]
@@ -486,32 +546,40 @@ def test_pseudo_likelihood_tells_rare_words_apart(spark, monkeypatch):
     got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()}
     # A rare word occurs 67 times on average, the others once.
     assert got[1000] > got[1001] + 3
-    monkeypatch.setattr(pseudolik, "FREQUENT", 250)
+    monkeypatch.setattr(pseudolik, "FREQUENT", 400)
     few = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolik.pseudo_likelihood(df).collect()}
     assert few == {k: pytest.approx(v, abs=1e-5) for k, v in got.items()}
 
 
-def test_pseudo_likelihood_is_the_sum_of_conditionals():
+def test_network_slopes_equal_differences():
     rng = np.random.default_rng(4)
-    model = pseudolik.parts(rng.standard_normal(pseudolik.SIZE).astype(np.float32) * 0.2)
-    line = np.array([255, 255, 3, 4, 5, 255, 255], np.uint8)
-    got = pseudolik.score_line(model, line, np.array([2, 3, 4]))
-    for k, at in enumerate((2, 3, 4)):
-        h = np.tanh(sum(model[0][i][line[at + o]] for i, o in enumerate(pseudolik.SIDES)) + model[1])
-        z = (h @ model[2] + model[3]).astype(float)
-        assert got[k] == pytest.approx(z[line[at]] - np.log(np.exp(z).sum()), abs=1e-4)
+    seen = rng.integers(1, 1000, pseudolik.TOKENS + 1).astype(float)
+    layout = pseudolik.layout_of(seen)
+    assert sorted(zip(*(x.tolist() for x in layout), strict=True)) == [(g, m) for g in range(pseudolik.GROUPS) for m in range(pseudolik.MEMBERS)]
+    theta = (rng.standard_normal(pseudolik.SIZE) * 0.3).astype(np.float32)
+    line, at = pseudolik.line_of(rng.integers(0, pseudolik.TOKENS, 50).astype(np.int16), np.array([20, 0, 30]))
+    loss = lambda t: -pseudolik.score_line(pseudolik.parts(t, layout), line, at).sum()
+    slopes, _ = pseudolik.gradients(pseudolik.parts(theta, layout), line, at)
+    for name in ("w1", "b1", "w2", "b2", "bias"):
+        way = rng.standard_normal(pseudolik.SHAPES[name]).astype(np.float32)
+        ends = []
+        for e in (1e-2, -1e-2):
+            moved = theta.copy()
+            pseudolik.parts(moved)[name][...] += e * way
+            ends.append(loss(moved))
+        assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float((slopes[name] * way).sum()), rel=2e-2, abs=0.05)
 
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(5)
-    line = np.concatenate([[255, 255], np.tile(np.arange(8), 400), [255, 255]]).astype(np.uint8)
-    at = np.arange(2, len(line) - 2)
-    counts = np.zeros(pseudolik.BUCKETS)
-    counts[:8] = 400
-    theta = pseudolik.initial(counts, np.arange(pseudolik.BUCKETS) % 255)
-    before = pseudolik.score_line(pseudolik.parts(theta), line, at).mean()
-    pseudolik.train(theta, line, rng.permutation(at))
-    assert pseudolik.score_line(pseudolik.parts(theta), line, at).mean() > before + 0.5
+    line, at = pseudolik.line_of(np.tile(np.arange(8), 4000).astype(np.int16), np.array([32_000]))
+    seen = np.zeros(pseudolik.TOKENS + 1)
+    seen[:8] = 4000
+    layout = pseudolik.layout_of(seen)
+    own = pseudolik.Trainer(pseudolik.initial(seen, layout), None, layout)
+    before = pseudolik.score_line(own.model, line, at).mean()
+    own.line(line, at)
+    assert own.seen == 32_000 and pseudolik.score_line(own.model, line, at).mean() > before + 0.5
 
 
 # Queries and the pipeline
