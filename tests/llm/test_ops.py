@@ -141,6 +141,15 @@ def test_secret_models_hold_on_fresh_samples(spark):
     assert hit(True) > 0.95 and hit(False) < 0.02
 
 
+def test_secret_spans_in_very_long_texts(spark):
+    text = "é ".join(f"{'0f' * 13}{'_AKIA' + 'Q1' * 9 if i % 3 else ''}" for i in range(6000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    got = secret_scan.digest(df).first()
+    base = [x for x in got["spans"].split(",") if not x.startswith("random")]
+    assert base == [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans_of(text)] and len(base) == 10_000
+    assert secret_scan.redact(df).first()["text"] == re.sub(r"0f[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", "[SECRET]", text)
+
+
 def test_secret_redaction(spark, docs):
     text = "a 😀 token = 'Zx9Qw8Er7Ty6' b " + "0a" * 20 + " end"
     df = spark.createDataFrame([(1, text), (2, "plain text stays"), (3, None)], "doc_id long, text string")

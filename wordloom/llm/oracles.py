@@ -9,29 +9,43 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def secret_scan_sql() -> str:
-    """Spans by the gaps that a split leaves, scores by the trained table."""
-    pats = (secret_scan.ASSIGN, secret_scan.ACCESS_LONG, secret_scan.HEX_LONG, secret_scan.RUN)
-    found = ", ".join(f"regexp_extract_all(t, {_quoted(p)}, 0) AS m{k}, regexp_extract_all(t, {_quoted(p)}, {2 if k == 0 else 0}) AS v{k}, regexp_split_to_array(t, {_quoted(p)}) AS s{k}" for k, p in enumerate(pats))
+def secret_scan_sql(documents: str = "documents") -> str:
+    """Spans by the gaps that a split leaves, scores by the trained table.
+
+    Stretches of a run are a fold over its pairs of characters, in plain terms:
+    sums since the last reset, their best and its place, and what was told.
+    """
+    pats = (secret_scan.ASSIGN, secret_scan.ACCESS_LONG, secret_scan.HEX_LONG)
+    cut = lambda k, p, v: f"regexp_extract_all(t, {_quoted(p)}, 0) AS m{k}, regexp_extract_all(t, {_quoted(p)}, {v}) AS v{k}, regexp_split_to_array(t, {_quoted(p)}) AS s{k}"
+    found = ", ".join(cut(k, p, 2 if k == 0 else 0) for k, p in enumerate(pats))
     start = "coalesce(list_sum(list_transform(s{k}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m{k}[1:i-1], lambda x: length(x))), 0)"
-    each = ", ".join(f"list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': CAST({start.format(k=k)} AS BIGINT), 'k': {k}, 'n': length(m{k}[i]), 'v': v{k}[i]}}) AS a{k}" for k in range(4))
+    item = lambda k: f"list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': CAST({start.format(k=k)} AS BIGINT), 'k': {k}, 'n': length(m{k}[i]), 'v': v{k}[i]}}) AS a{k}"
     table = "[" + ", ".join(map(str, secret_scan.train(secret_scan.default_samples()))) + "]"
-    width = len(secret_scan.ALPHABET)
-    codes = f"list_transform(string_split(r.v, ''), lambda c: instr({_quoted(secret_scan.ALPHABET)}, c))"
-    total = f"list_sum(list_transform(range(1, len({codes})), lambda i: tab[({codes}[i] - 1) * {width} + {codes}[i + 1]]))"
-    least = f"greatest({int(secret_scan.LEAST_NATS * secret_scan.SCALE)}, length(r.v) * {int(secret_scan.LEAST_EACH * secret_scan.SCALE)})"
+    width, each, least = len(secret_scan.ALPHABET), int(secret_scan.LEAST_EACH * secret_scan.SCALE), int(secret_scan.LEAST_NATS * secret_scan.SCALE)
     names = "[" + ", ".join(map(_quoted, secret_scan.KINDS)) + "]"
     joined = f"array_to_string(list_transform(list_sort({{}}), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
     bare = "list_transform({}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.s + x.n}})"
+    told = f"CASE WHEN a.best + {each} * (a.upto - a.since) >= {least} THEN list_append(a.told, {{'f': a.since, 'g': a.upto}}) ELSE a.told END"
+    kept = "{{'x': 0::BIGINT, 'i': {i}, 's': {s}, 'since': {since}, 'best': {best}, 'upto': {upto}, 'told': {told}}}"
+    reset = kept.format(i="a.i + 1", s="0::BIGINT", since="a.i + 1", best="0::BIGINT", upto="a.i + 1", told=told)
+    more = kept.format(i="a.i + 1", s=f"a.s + b.x - {each}", since="a.since", best=f"greatest(a.best, a.s + b.x - {each})", upto=f"CASE WHEN a.s + b.x - {each} > a.best THEN a.i + 2 ELSE a.upto END", told="a.told")
+    fold = f"list_reduce(list_transform(c, lambda x: {kept.format(i='0::BIGINT', s='0::BIGINT', since='0::BIGINT', best='0::BIGINT', upto='0::BIGINT', told='[]::STRUCT(f BIGINT, g BIGINT)[]').replace('0::BIGINT', 'x', 1)}), lambda a, b: CASE WHEN a.s + b.x - {each} <= 0 OR a.best - (a.s + b.x - {each}) >= {least} THEN {reset} ELSE {more} END, {kept.format(i='0::BIGINT', s='0::BIGINT', since='0::BIGINT', best='0::BIGINT', upto='0::BIGINT', told='[]::STRUCT(f BIGINT, g BIGINT)[]')})"
     return f"""
-WITH f AS (SELECT doc_id, {found} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
-g AS (SELECT doc_id, {each} FROM f),
-h AS (SELECT doc_id, list_concat(list_concat(list_filter(a0, lambda x: length(x.v) >= {secret_scan.ASSIGN_LEAST}), a1), a2) AS fixed, a3 AS runs, {table} AS tab FROM g),
-i AS (SELECT doc_id, fixed, list_filter(runs, lambda r: len(list_filter(fixed, lambda x: x.s < r.s + r.n AND r.s < x.s + x.n)) = 0 AND {total} >= {least}) AS rand FROM h)
+WITH f AS (SELECT doc_id, t, {found} FROM (SELECT doc_id, coalesce(text, '') AS t FROM {documents})),
+g AS (SELECT doc_id, t, {", ".join(map(item, range(3)))} FROM f),
+h AS (SELECT row_number() OVER () AS rid, doc_id, t, {bare.format(f"list_concat(list_concat(list_filter(a0, lambda x: length(x.v) >= {secret_scan.ASSIGN_LEAST}), a1), a2)")} AS fixed FROM g),
+i AS (SELECT rid, doc_id, fixed, CASE WHEN len(fixed) = 0 THEN t ELSE array_to_string(list_transform(string_split(t, ''), lambda c, i: CASE WHEN len(list_filter(fixed, lambda x: x.s < i AND i <= x.e)) > 0 THEN ' ' ELSE c END), '') END AS t FROM h),
+j AS (SELECT rid, doc_id, fixed, {cut(3, secret_scan.RUN, 0)} FROM i),
+k AS (SELECT rid, r.s AS pos, r.v AS v, list_transform(string_split(r.v, ''), lambda c: instr({_quoted(secret_scan.ALPHABET)}, c)) AS q, {table} AS tab FROM (SELECT rid, unnest(a3) AS r FROM (SELECT rid, {item(3)} FROM j))),
+l AS (SELECT rid, pos, v, list_transform(range(1, len(q)), lambda i: CAST(tab[(q[i] - 1) * {width} + q[i + 1]] AS BIGINT)) AS c FROM k),
+m AS (SELECT rid, pos, v, {fold} AS a, list_sum(c) >= greatest({least}, length(v) * {each}) AS whole FROM l),
+n AS (SELECT rid, pos, v, whole, unnest(CASE WHEN whole THEN [{{'f': 0::BIGINT, 'g': length(v)}}] ELSE {told} END) AS p FROM m),
+o AS (SELECT DISTINCT rid, pos, CASE WHEN whole THEN 0 ELSE p.f - length(regexp_extract(reverse(substr(v, 1, p.f)), '^[A-Za-z0-9+]*')) END AS f, CASE WHEN whole THEN p.g ELSE p.g + length(regexp_extract(substr(v, p.g + 1), '^[A-Za-z0-9+]*')) END AS g FROM n),
+r AS (SELECT rid, list({{'s': pos + f, 'k': 3, 'e': pos + g}}) AS rand FROM o WHERE g - f >= {secret_scan.LEAST_RUN} GROUP BY rid)
 SELECT doc_id, CAST(len(list_filter(fixed, lambda x: x.k = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(fixed, lambda x: x.k = 1)) AS BIGINT) AS n_access,
-  CAST(len(list_filter(fixed, lambda x: x.k = 2)) AS BIGINT) AS n_hex, sha256({joined.format(bare.format('fixed'))}) AS base_sha256,
-  {joined.format(bare.format('list_concat(fixed, rand)'))} AS spans
-FROM i"""
+  CAST(len(list_filter(fixed, lambda x: x.k = 2)) AS BIGINT) AS n_hex, sha256({joined.format('fixed')}) AS base_sha256,
+  {joined.format('list_concat(fixed, coalesce(rand, []))')} AS spans
+FROM j LEFT JOIN r USING (rid)"""
 
 
 def quality_rules_sql(alpha: float = rules.ALPHA, delta: float = rules.DELTA) -> str:

@@ -50,8 +50,9 @@ WARM = 8
 FREQUENT = 300_000
 #: A task merges its counts when it holds so many, and gives them out beyond half of it.
 HELD = 1 << 22
-#: Parameters of so many partitions are averaged in one task.
-FAN_IN = 64
+#: States are cut into parts of so many numbers; those of so many partitions are averaged at once.
+PART, FAN_IN = 1 << 14, 32
+STATE = "pid int, part int, w long, v binary"
 
 #: Capitals become small letters and white space a blank.
 _PLAIN = bytes(32 if c in b"\t\n\x0b\f\r " else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -407,25 +408,28 @@ def fit_vocabulary(counts: DataFrame, scratch: Scratch) -> Vocabulary:
 
 
 def _averaged(states: DataFrame, scratch: Scratch) -> np.ndarray | None:
-    """The mean of the partitions' states by their words, FAN_IN at a time in their order."""
+    """The mean of the partitions' states by their words, FAN_IN at a time in their order.
 
-    def mean(part: pa.Table) -> pa.Table:
-        order = np.argsort(part.column("pid").to_numpy())
-        w = part.column("w").to_numpy()
-        total, sums = float(w.sum()), np.zeros(len(part.column("v")[0].as_py()) // 4)
-        for k in order.tolist():
-            sums += np.frombuffer(part.column("v")[k].as_py(), np.float32) * (w[k] / total)
-        return pa.table({"pid": pa.array([int(part.column("pid")[int(order[0])].as_py()) // FAN_IN], pa.int32()), "w": [int(w.sum())], "v": [sums.astype(np.float32).tobytes()]})
+    ``states`` holds a row for each part of a partition's state: (pid, part, w, v).
+    """
+
+    def mean(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("pid").to_numpy()).tolist()
+        w = rows.column("w").to_numpy()
+        total, sums = float(w.sum()), 0.0
+        for k in order:
+            sums = sums + np.frombuffer(rows.column("v")[k].as_py(), np.float32) * (w[k] / total)
+        first = {c: rows.column(c)[order[0]].as_py() for c in ("pid", "part")}
+        return pa.table({"pid": pa.array([first["pid"] // FAN_IN], pa.int32()), "part": pa.array([first["part"]], pa.int32()), "w": [int(w.sum())], "v": [sums.astype(np.float32).tobytes()]})
 
     states = scratch.table(states, "states")
-    while (n := states.count()) > 0:
-        last = n <= FAN_IN
-        key = F.lit(0) if last else F.floor(F.col("pid") / FAN_IN)
-        states = scratch.table(states.groupBy(key.cast("int").alias("g")).applyInArrow(mean, "pid int, w long, v binary"), "states")
-        if last or states.count() == n:
-            break
-    got = states.orderBy("pid").collect() if n else []  # one row, a state each
-    return np.frombuffer(bytes(got[0]["v"]), np.float32) if got else None
+    most = states.agg(F.max("pid")).first()[0]
+    if most is None:
+        return None
+    while most > 0:
+        grouped = states.withColumn("g", F.floor(F.col("pid") / FAN_IN)).groupBy("part", "g")
+        states, most = scratch.table(grouped.applyInArrow(mean, STATE), "states"), most // FAN_IN
+    return np.concatenate([np.frombuffer(bytes(r["v"]), np.float32) for r in states.orderBy("part").collect()])  # one state
 
 
 def fit_network(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np.ndarray:
@@ -441,9 +445,11 @@ def fit_network(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np
                     own.line(*line_of(vocabulary.find(words, tails)[0], n))
                 turn += 1
             if own.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([own.seen]), pa.array([own.state.tobytes()], pa.binary())], names=["pid", "w", "v"])
+                cuts = [own.state[lo : lo + PART].tobytes() for lo in range(0, len(own.state), PART)]
+                same = lambda x, kind: pa.array([x] * len(cuts), kind)
+                yield pa.RecordBatch.from_arrays([same(TaskContext.get().partitionId(), pa.int32()), pa.array(range(len(cuts)), pa.int32()), same(own.seen, pa.int64()), pa.array(cuts, pa.binary())], names=["pid", "part", "w", "v"])
 
-        got = _averaged(rows.select("text").mapInArrow(fit, "pid int, w long, v binary"), scratch)
+        got = _averaged(rows.select("text").mapInArrow(fit, STATE), scratch)
         state = state if got is None else got
     return theta if state is None else state[:SIZE].copy()
 

@@ -1,8 +1,9 @@
 """Secrets in whole texts: fixed patterns and character Markov models.
 
 Three fixed kinds are found by pattern.  A fourth, ``random``, is any long run
-of token characters whose log-likelihood under a Markov chain of random
-strings exceeds that under a chain of ordinary identifiers and words.  Both
+of token characters, or a stretch of one, whose log-likelihood under a Markov
+chain of random strings exceeds that under a chain of ordinary identifiers and
+words.  Both
 chains are trained from labelled samples; their ratio is a table of whole
 numbers, so a score is an exact sum.  All work is DataFrame expressions.
 """
@@ -122,31 +123,74 @@ def stretches(run: Column, table: Column) -> Column:
         return F.when((s <= 0) | (acc["best"] - s >= least), made(acc["i"] + 1, whole, acc["i"] + 1, whole, acc["i"] + 1, told(acc))).otherwise(more)
 
     found = F.aggregate(_cells(run, table), made(F.lit(0), whole, F.lit(0), whole, F.lit(0), none), step, told)
-    before = lambda m: F.length(F.regexp_extract(F.substring(run, F.lit(1), m["from"]), r"[A-Za-z0-9+]*$", 0))
+    before = lambda m: F.length(F.regexp_extract(F.reverse(F.substring(run, F.lit(1), m["from"])), r"^[A-Za-z0-9+]*", 0))
     after = lambda m: F.length(F.regexp_extract(F.substring(run, m["to"] + 1, F.length(run)), r"^[A-Za-z0-9+]*", 0))
     wide = F.transform(found, lambda m: F.struct((m["from"] - before(m)).alias("from"), (m["to"] + after(m)).alias("to")))
-    return F.filter(wide, lambda m: m["to"] - m["from"] >= LEAST_RUN)
+    return F.array_distinct(F.filter(wide, lambda m: m["to"] - m["from"] >= LEAST_RUN))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by as many blanks."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Texts are cut in pieces and arrays summed in blocks of so many, so that a text
+#: with many spans costs no more for each.
+BLOCK, SPREAD = 256, 16
 
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(m["end"] - F.greatest(acc["at"], m["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
 
-    whole = F.aggregate(F.sort_array(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _before(values: Column, zero: int, add, levels: int = 3) -> Column:
+    """What ``add`` makes of all values before each, from ``zero`` on: by blocks, then within them."""
+    fold = lambda part, start: F.aggregate(part, start, lambda s, v: add(s, v))
+    if not levels:
+        return F.transform(values, lambda v, i: fold(F.slice(values, F.lit(1), i), F.lit(zero)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SPREAD).cast("int")), lambda j: F.slice(values, j * SPREAD + 1, F.lit(SPREAD)))
+    within = lambda b, s: F.transform(b, lambda v, i: fold(F.slice(b, F.lit(1), i), s))
+    placed = lambda bs: _let(_before(F.transform(bs, lambda b: fold(b, F.lit(zero))), zero, add, levels - 1), lambda starts: F.flatten(F.zip_with(bs, starts, within)))
+    return F.when(F.size(values) > 0, _let(blocks, placed)).otherwise(F.array().cast("array<int>"))
+
+
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """The code points from a up to b of a text in pieces."""
+    i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    inner = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(piece(i), (a % BLOCK + 1).cast("int"), F.lit(BLOCK)), inner, F.substring(piece(j), F.lit(1), (b % BLOCK).cast("int")))
+    return F.when(b <= a, F.lit("")).when(i == j, F.substring(piece(i), (a % BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise(apart)
+
+
+def _merged(spans: Column) -> Column:
+    """Structs (start, end) of the joined spans, in their order; spans are sorted."""
+    over = _let(F.transform(spans, lambda m: m["end"]), lambda ends: _before(ends, 0, lambda s, v: F.greatest(s, v)))
+    each = F.zip_with(spans, over, lambda m, o: F.struct(m["start"].alias("start"), o.alias("over")))
+
+    def told(first: Column) -> Column:
+        ends = F.array_append(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda m: m["over"]), F.array_max(F.transform(spans, lambda m: m["end"])))
+        return F.zip_with(F.transform(first, lambda m: m["start"]), ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return _let(F.filter(each, lambda m: m["start"] >= m["over"]), told)
+
+
+def _parts(text: Column, spans: Column) -> tuple[Column, ...]:
+    """What ``_replaced`` needs, empty where there is no span; a column of its own, so it is made once."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, pieces).alias("pieces"), F.when(F.size(spans) > 0, _merged(F.sort_array(spans))).alias("merged"), F.length(text).alias("length")
+
+
+def _replaced(parts: Column, mark) -> Column:
+    """The text with ``mark`` of each joined span in its place."""
+    pieces, merged = parts["pieces"], parts["merged"]
+    gaps = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(merged, lambda m: m["end"])), F.concat(F.transform(merged, lambda m: m["start"]), F.array(parts["length"])), lambda a, b: _between(pieces, a, b))
+    marks = F.array_append(F.transform(merged, mark), F.lit(""))
+    return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, m)), "")
 
 
 def _starts(text: Column, pattern: str, found: Column) -> Column:
     """Code point starts of the matches, from the gaps that split leaves."""
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["gap"]).alias("out"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda gap: F.length(gap))
+    before = lambda steps: _let(F.transform(steps, lambda x: x["gap"] + x["len"]), lambda n: _before(n, 0, lambda s, v: s + v))
+    steps = F.zip_with(gaps, found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("len")))
+    return _let(steps, lambda steps: F.zip_with(before(steps), steps, lambda b, x: b + x["gap"]))
 
 
 def _spans(text: Column, kind: int, pattern: str, value: int) -> Column:
@@ -159,39 +203,32 @@ def _spans(text: Column, kind: int, pattern: str, value: int) -> Column:
     return F.when(text.rlike(pattern), out).otherwise(empty)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", *, samples: Iterable[tuple[str, bool]] | None = None, parts: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", *, samples: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
     """All columns of ``docs`` and an array of (start, kind, end) structs.
 
     ``kind`` indexes KINDS; starts and ends are code points, the end exclusive.
     Fixed spans are leftmost and non-overlapping within their kind and stay
-    whatever the models say; random spans never overlap fixed ones.  Null and
-    empty texts have none; every row is scanned whole, repeated rows each.
-    With ``parts``, what fixed spans leave of a run is a run of its own, and a
-    run that is no secret as a whole may hold some.
+    whatever the models say.  What they leave of a run is a run of its own; a
+    run is a random span as a whole, or the stretches in it are.  Random spans
+    never overlap fixed ones.  Null and empty texts have none; every row is
+    scanned whole, repeated rows each.
     """
     stage = own_name(docs, "__stage")
     table = F.split(F.lit(",".join(map(str, train(list(samples or default_samples()))))), ",").cast("array<int>")
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    out = docs.withColumn(stage, F.struct(text.alias("t"), _spans(text, 0, ASSIGN, 2).alias("a"), _spans(text, 1, ACCESS_LONG, 0).alias("b"), _spans(text, 2, HEX_LONG, 0).alias("c"), _spans(text, 3, RUN, 0).alias("d")))
+    out = docs.withColumn(stage, F.struct(text.alias("t"), _spans(text, 0, ASSIGN, 2).alias("a"), _spans(text, 1, ACCESS_LONG, 0).alias("b"), _spans(text, 2, HEX_LONG, 0).alias("c")))
     x = F.col(stage)
     fixed = F.concat(F.filter(x["a"], lambda m: F.length(m["value"]) >= ASSIGN_LEAST), x["b"], x["c"])
-    if parts:
-        out = out.withColumn(stage, F.struct(fixed.alias("fixed"), _blanked(x["t"], fixed).alias("t")))
-        out = out.withColumn(stage, F.struct(x["fixed"].alias("fixed"), _spans(x["t"], 3, RUN, 0).alias("runs")))
-    else:
-        out = out.withColumn(stage, F.struct(fixed.alias("fixed"), x["d"].alias("runs")))
-    x = F.col(stage)
-
-    def is_random(run: Column) -> Column:
-        free = ~F.exists(x["fixed"], lambda m: (m["start"] < run["end"]) & (run["start"] < m["end"]))
-        return free & (score(run["value"], table) >= F.greatest(F.lit(int(LEAST_NATS * SCALE)), F.length(run["value"]) * int(LEAST_EACH * SCALE)))
-
     bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"], m["kind"], m["end"]))
-    found = bare(F.filter(x["runs"], is_random))
-    if parts:
-        inner = lambda m: F.transform(stretches(m["value"], table), lambda p: F.struct((m["start"] + p["from"]).alias("start"), m["kind"], (m["start"] + p["to"]).alias("end")))
-        found = F.flatten(F.transform(x["runs"], lambda m: F.when(is_random(m), F.array(F.struct(m["start"], m["kind"], m["end"]))).otherwise(inner(m))))
-    spans = F.sort_array(F.concat(bare(x["fixed"]), found))
+    out = out.withColumn(stage, F.struct(bare(fixed).alias("fixed"), x["t"].alias("t")))
+    out = out.withColumn(stage, F.struct(x["fixed"].alias("fixed"), x["t"].alias("t"), *_parts(x["t"], x["fixed"])))
+    blanked = _replaced(x, lambda m: F.repeat(F.lit(" "), m["end"] - m["start"]))
+    out = out.withColumn(stage, F.struct(x["fixed"].alias("fixed"), F.when(F.size(x["fixed"]) > 0, blanked).otherwise(x["t"]).alias("t")))
+    out = out.withColumn(stage, F.struct(x["fixed"].alias("fixed"), _spans(x["t"], 3, RUN, 0).alias("runs")))
+    is_random = lambda run: score(run["value"], table) >= F.greatest(F.lit(int(LEAST_NATS * SCALE)), F.length(run["value"]) * int(LEAST_EACH * SCALE))
+    inner = lambda m: F.transform(stretches(m["value"], table), lambda p: F.struct((m["start"] + p["from"]).alias("start"), m["kind"], (m["start"] + p["to"]).alias("end")))
+    found = F.flatten(F.transform(x["runs"], lambda m: F.when(is_random(m), F.array(F.struct(m["start"], m["kind"], m["end"]))).otherwise(inner(m))))
+    spans = F.sort_array(F.concat(x["fixed"], found))
     return out.withColumn(stage, spans).withColumnRenamed(stage, into)
 
 
@@ -220,15 +257,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     Overlapping spans are one.  Columns, rows and nulls stay as they are.
     """
     name = own_name(docs, "__secrets")
-    found = find_secrets(docs, text_col, name, parts=True)
-    text, spans = column(found, text_col), F.col(name)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        apart = m["start"] >= acc["at"]
-        gap = F.concat(F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(apart, F.array_append(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
-
-    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    new = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, tail)).otherwise(text)
+    found = find_secrets(docs, text_col, name)
+    text = column(found, text_col)
+    found = found.withColumn(name, F.struct(*_parts(text, F.col(name))))
+    new = F.when(F.col(name)["merged"].isNotNull(), _replaced(F.col(name), lambda m: F.lit(mark))).otherwise(text)
     return found.withColumn(text_col, new).drop(name)
