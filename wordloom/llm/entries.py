@@ -108,9 +108,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
-#: Shares of the mix.  Its size lets the clean documents' tokens grow by a tenth,
-#: so a clean document stays although posteriors overlap.
-TARGETS, GROWTH = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}, 1.1
+#: Shares of the mix, those of junk and toxic texts at most.  Its size lets the clean
+#: documents' tokens grow by a tenth, so a clean document stays although posteriors overlap.
+TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
+MIX = {"budget": "clean", "growth": 1.1, "at_most": ("junk", "toxic")}
 
 
 @_query
@@ -118,7 +119,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.mixing import labelled_domains, report
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_domains(labels), TARGETS, budget="clean", growth=GROWTH)
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_domains(labels), TARGETS, **MIX)
 
 
 @_query

@@ -45,6 +45,7 @@ class Mixer:
     weights: tuple[tuple[float, ...], ...] = ()
     bias: tuple[float, ...] = ()
     steps: tuple[tuple[float, ...], ...] = ()
+    most: float = 8.0
     draw: int = 0
 
 
@@ -173,29 +174,31 @@ def scored(docs: DataFrame, mixer: Mixer, text_col: str, into: str) -> DataFrame
 
 
 def rate(mixer: Mixer, p: Column) -> Column:
-    """The fitted rate: the gradient steps applied to one, projected each time."""
+    """The fitted rate: the gradient steps applied to one, projected each time to 0 up to ``most``."""
     if not mixer.steps:
         return F.lit(1.0)
     steps = F.from_json(F.lit("[" + ",".join("[" + ",".join(repr(v) for v in s) + "]" for s in mixer.steps) + "]"), "array<array<double>>")
     slope = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a / 100 * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - slope(g)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.least(F.lit(mixer.most), F.greatest(F.lit(0.0), r - slope(g))))
 
 
-def goals(have: list[float], names: tuple[str, ...], targets: dict[str, float], budget: str = "total", growth: float = 1.0) -> list[float]:
+def goals(have: list[float], names: tuple[str, ...], targets: dict[str, float], budget: str = "total", growth: float = 1.0, at_most: tuple[str, ...] = ()) -> list[float]:
     """The tokens that each domain should have.
 
     Targets are shares of the mix, whatever they sum to.  ``budget`` sets its
     tokens in all: ``total`` as many as there are, the name of a domain so many
-    that this domain's expected tokens stay, times ``growth``.
+    that this domain's expected tokens stay, times ``growth``.  Domains named in
+    ``at_most`` never get more than they have, so what is scarce and unwanted is
+    not repeated to fill its share.
     """
     want = [targets.get(n, 0.0) / sum(targets.values()) for n in names]
     total = sum(have)
     if budget in names and have[names.index(budget)] > 0 and want[names.index(budget)] > 0:
         total = have[names.index(budget)] / want[names.index(budget)]
-    return [w * total * growth for w in want]
+    return [min(w * total * growth, h) if n in at_most else w * total * growth for n, h, w in zip(names, have, want, strict=True)]
 
 
-def fit_rates(cells: DataFrame, mixer: Mixer, targets: dict[str, float], *, budget: str = "total", growth: float = 1.0, rounds: int = 60, near: float = 1e-4) -> Mixer:
+def fit_rates(cells: DataFrame, mixer: Mixer, targets: dict[str, float], *, budget: str = "total", growth: float = 1.0, at_most: tuple[str, ...] = (), rounds: int = 60, near: float = 1e-4) -> Mixer:
     """Projected gradient on ``cells`` (p, tokens), the sums by posterior.
 
     The squares are weighted by the inverse of the domains' Gram matrix, under
@@ -209,7 +212,7 @@ def fit_rates(cells: DataFrame, mixer: Mixer, targets: dict[str, float], *, budg
     have = [float(sums[f"n{i}"] or 0) for i in range(k)]
     if not sum(have):
         return mixer
-    goal = np.array(goals(have, names, targets, budget, growth))
+    goal = np.array(goals(have, names, targets, budget, growth, at_most))
     met = np.array([h > 0 for h in have])
     gram = np.array([[float(sums[f"g{i}_{j}"] or 0) for j in range(k)] for i in range(k)])
     inverse = np.linalg.pinv(gram * np.outer(met, met), rcond=1e-9, hermitian=True)
@@ -240,10 +243,10 @@ def best_draw(rows: DataFrame, mixer: Mixer) -> Mixer:
     return replace(mixer, draw=min(range(DRAWS), key=off)) if any(got[f"r{i}"] for i in range(k)) else mixer
 
 
-def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = MAX_LABELLED, budget: str = "total", growth: float = 1.0) -> tuple[Mixer, DataFrame]:
+def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = MAX_LABELLED, **goal: object) -> tuple[Mixer, DataFrame]:
     """The mixing and the table (id, tokens, p, key) of all rows.
 
-    ``domains`` holds (id, domain).  Null and empty texts have no tokens and
+    ``domains`` holds (id, domain); ``goal`` is as in ``goals``.  Null and empty texts have no tokens and
     the posterior of the biases; repeated rows and null ids are mixed like
     others, equal rows by equal copies; without documents or labels all
     domains are alike.
@@ -256,7 +259,7 @@ def fit(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col:
     cells = rows.groupBy("p").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     # Three domains have at most 5151 posteriors; only many domains need more than one task.
     cells = scratch.table(cells.coalesce(1) if math.comb(99 + len(targets), 100) <= BROADCAST_ROWS else cells, "cells")
-    return best_draw(rows, fit_rates(cells, mixer, targets, budget=budget, growth=growth)), rows
+    return best_draw(rows, fit_rates(cells, mixer, targets, **goal)), rows
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
