@@ -49,28 +49,30 @@ FROM j LEFT JOIN r USING (rid)"""
 
 
 def quality_rules_sql(alpha: float = rules.ALPHA, delta: float = rules.DELTA) -> str:
-    """Measures, certified cutoffs and verdicts."""
-    p, n_rules = alpha / len(rules.RULES), len(rules.RULES)
+    """Measures, certified steps and verdicts."""
     gone = "length(x) - length(regexp_replace(x, '{}', '', 'g'))"
     share = lambda r: f"CASE WHEN {rules.RULES[r][1]} > 0 THEN {rules.RULES[r][0]} / {rules.RULES[r][1]} ELSE 0.0 END"
-    cells = " UNION ALL ".join(f"SELECT lang, {_quoted(r)} AS rule, {share(r)} AS share FROM good" for r in rules.RULES)
-    grid = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(rules.GRID))
-    failed = ", ".join(f"CASE WHEN {share(r)} > (SELECT c.cut FROM cuts c WHERE c.lang IS NOT DISTINCT FROM m.lang AND c.rule = {_quoted(r)}) THEN {_quoted(r)} END" for r in rules.RULES)
+    path = ", ".join(f"({g}, " + ", ".join(f"CAST({rules.PATH[r][g]} AS DOUBLE)" for r in rules.RULES) + ")" for g in range(rules.STEPS))
+    over = " OR ".join(f"{share(r)} > c_{r}" for r in rules.RULES)
+    failed = ", ".join(f"CASE WHEN {share(r)} > c_{r} THEN {_quoted(r)} END" for r in rules.RULES)
     return rf"""
 WITH w AS (SELECT doc_id, lang, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents)),
 win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w)),
 rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM rep, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
-m AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({gone.format('[#*$%&|<>]')} AS BIGINT) AS n_symbols,
+m AS (SELECT w.doc_id, lang, x, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({gone.format('[#*$%&|<>]')} AS BIGINT) AS n_symbols,
   {gone.format('[A-Z]')} AS n_capitals, {gone.format('!')} AS n_exclaims, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
-good AS (SELECT m.* FROM m WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
-cells AS ({cells}),
-counts AS (SELECT lang, rule, g, cut, count(*) AS n, count(*) FILTER (WHERE share > cut) AS k FROM cells, (VALUES {grid}) v(g, cut) GROUP BY lang, rule, g, cut),
-tails AS (SELECT *, CASE WHEN k > n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail FROM counts),
-tested AS (SELECT *, tail <= {delta / n_rules!r} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)) AS ok FROM tails),
-held AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY g ROWS UNBOUNDED PRECEDING) AS all_ok FROM tested),
-cuts AS (SELECT lang, rule, min(cut) AS cut FROM held WHERE all_ok GROUP BY lang, rule),
-v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {failed}) AS failed_rules FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND failed_rules = '' AS kept FROM v"""
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+path(g, {", ".join("c_" + r for r in rules.RULES)}) AS (VALUES {path}),
+good AS (SELECT DISTINCT ON (lang, x) * FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+strata AS (SELECT lang, count(*) >= {rules.LEAST_GOOD} AS own FROM good GROUP BY lang),
+tried AS (SELECT s.own, CASE WHEN s.own THEN s.lang END AS stratum, g, count(*) AS n, count(*) FILTER (WHERE {over}) AS k
+  FROM good d JOIN strata s ON s.lang IS NOT DISTINCT FROM d.lang, path GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k > n * {alpha!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) END AS tail FROM tried),
+steps AS (SELECT own, stratum, max(g) FILTER (WHERE tail <= {delta!r} / (SELECT count(*) FROM (SELECT DISTINCT own, stratum FROM tried))) AS step FROM tails GROUP BY ALL),
+judged AS (SELECT v.*, coalesce(s.own, false) AS has_own, s.step AS own_step FROM v LEFT JOIN (SELECT * FROM steps WHERE own) s ON s.stratum IS NOT DISTINCT FROM v.lang),
+cut AS (SELECT j.*, path.* FROM judged j LEFT JOIN path ON path.g = CASE WHEN has_own THEN own_step ELSE (SELECT step FROM steps WHERE NOT own) END),
+told AS (SELECT *, concat_ws(',', {failed}) AS failed_rules FROM cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND failed_rules = '' AS kept FROM told"""

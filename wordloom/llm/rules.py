@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs limit the false rejection of good documents.
 
 Fixed measures of each whole text are compared with cutoffs chosen from the
-labelled documents.  Per stratum and rule the cutoffs of a fixed grid are
-tested from the loosest on: a cutoff is certified while the exact binomial
-tail P(Bin(n, alpha) <= k) of the k good documents it would reject among n
-stays within the error level, which is split over all strata and rules
-(Bonferroni); the first failure ends the sequence.  ``alpha`` is split over
-the rules, so the rules together wrongly reject at most that share of a
-stratum's good documents, with confidence 1 - delta over all strata at once.
+labelled documents.  All rules tighten together along a path fixed beforehand,
+and a step of it rejects what any of its cutoffs does.  Per stratum the steps
+are tested from the loosest on: a step is certified while the exact binomial
+tail P(Bin(n, alpha) <= k) of the k good texts it would reject among n stays
+within the error level, which is split over the strata (Bonferroni); testing in
+a fixed order ends with the first failure and needs no further correction.  So
+the rules together wrongly reject at most the share ``alpha`` of a stratum's
+good documents, with confidence 1 - delta over all strata at once.  Equal texts
+are one trial.  Strata of fewer than ``LEAST_GOOD`` good texts can certify
+nothing alone and are one stratum together.
 
 Everything is DataFrame expressions; counts are aggregated before they meet.
 """
@@ -18,21 +21,23 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wordloom.llm.common import WORD_GAP, Scratch, column, own_name, small, words_of
 
 ALPHA, DELTA = 0.02, 0.05
-#: Cutoffs from the loosest to the tightest, as shares.
-GRID = [x / 100 for x in (95, 90, 85, 80, 75, 70, 65, 60, 55, 50, 45, 40, 35, 30, 25, 20, 18, 16, 14, 12, 10, 9, 8, 7, 6, 5, 4, 3)]
-#: Each rule: a share of two measures; texts above the cutoff are rejected.
+LEAST_GOOD = 300
+#: Each rule: a share of two measures, and its loosest and tightest cutoff; texts
+#: above the cutoff are rejected.
 RULES = {
-    "symbols": ("n_symbols", "word_chars"),
-    "capitals": ("n_capitals", "word_chars"),
-    "exclaims": ("n_exclaims", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-    "repeats": ("n_repeat_words", "n_words"),
+    "symbols": ("n_symbols", "word_chars", 0.5, 0.02),
+    "capitals": ("n_capitals", "word_chars", 0.8, 0.3),
+    "exclaims": ("n_exclaims", "n_words", 1.0, 0.2),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.9, 0.4),
+    "repeats": ("n_repeat_words", "n_words", 0.5, 0.35),
 }
+STEPS = 24
+#: The cutoffs of each rule by step.
+PATH = {r: [round(hi + (lo - hi) * g / (STEPS - 1), 4) for g in range(STEPS)] for r, (_, _, hi, lo) in RULES.items()}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclaims")
 
 
@@ -87,7 +92,7 @@ def measures(docs: DataFrame, text_col: str = "text", into: str = "measures") ->
 
 
 def _share(m: Column, rule: str) -> Column:
-    top, all_ = (m[x] for x in RULES[rule])
+    top, all_ = (m[x] for x in RULES[rule][:2])
     return F.when(all_ > 0, top / all_).otherwise(F.lit(0.0))
 
 
@@ -121,25 +126,31 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(first) * total)
 
 
-def cutoffs(scratch: Scratch, measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, m: str, *, label_id: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff per rule): null where no cutoff is certified."""
+def first_step(m: Column) -> Column:
+    """The first step that rejects a text, STEPS where none does."""
+    passed = lambda share, r: F.size(F.filter(F.array(*map(F.lit, PATH[r])), lambda c: share <= c))
+    return F.least(*(passed(_share(m, r), r) for r in RULES))
+
+
+def certified(scratch: Scratch, measured: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(own, stratum, step): the last certified step, null where none is.
+
+    ``own`` is false for the strata that are one together, whose name is null.
+    """
     good = labels.groupBy(column(labels, label_id).alias("__good")).agg(F.max(column(labels, label_col)).alias("__q")).where("__q = 1").select("__good")
-    rows = measured.select(column(measured, id_col).alias("id"), column(measured, stratum_col).cast("string").alias("stratum"), F.col(m))
-    rows = rows.join(good, F.col("id") == F.col("__good"), "left_semi")
-    level = lambda share: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: share > c))
-    ruled = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _share(F.col(m), r).alias("share")) for r in RULES)))
-    seen = rows.select("stratum", ruled.alias("x")).select("stratum", "x.rule", level(F.col("x.share")).alias("bin")).groupBy("stratum", "rule", "bin").count()
-    seen = scratch.table(seen, "seen")
-    # The loosest cutoff is first, so a share above the last j cutoffs only is rejected from position len - j on.
-    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.lit(c).alias("cut")) for i, c in enumerate(GRID))))
-    cells = seen.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("bin", "count")).alias("bins")).select("stratum", "rule", "n", "bins", grid.alias("c"))
-    rejected = F.aggregate(F.filter("bins", lambda b: b["bin"] >= len(GRID) - F.col("c.g")), F.lit(0).cast("long"), lambda a, b: a + b["count"])
-    cells = cells.select("stratum", "rule", "n", F.col("c.g").alias("g"), F.col("c.cut").alias("cut"), rejected.alias("k"))
-    level_of = delta / len(RULES) / max(1, seen.select("stratum").distinct().count())
-    tested = cells.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= level_of)
-    w = Window.partitionBy("stratum", "rule").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    held = tested.withColumn("all_ok", F.min("ok").over(w)).where("all_ok")
-    return held.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cut"))
+    rows = measured.where(~base_failed(F.col("measures"))).join(good, F.col("id") == F.col("__good"), "left_semi")
+    texts = rows.select("stratum", "text_hash", first_step(F.col("measures")).alias("first")).distinct()
+    seen = scratch.table(texts.groupBy("stratum", "first").count(), "seen")
+    n = seen.groupBy(F.col("stratum").alias("of")).agg(F.sum("count").alias("n"))
+    large = F.col("n") >= LEAST_GOOD
+    seen = seen.join(n, F.col("stratum").eqNullSafe(F.col("of"))).select(large.alias("own"), F.when(large, F.col("stratum")).alias("stratum"), "first", "count")
+    groups = seen.groupBy("own", "stratum").agg(F.sum("count").alias("n"), F.collect_list(F.struct("first", "count")).alias("by"))
+    groups = scratch.table(groups, "strata")
+    level = delta / max(1, groups.count())
+    rejected = F.aggregate(F.filter("by", lambda b: b["first"] <= F.col("g")), F.lit(0).cast("long"), lambda a, b: a + b["count"])
+    cells = groups.select("own", "stratum", "n", "by", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("g")).select("own", "stratum", "n", "g", rejected.alias("k"))
+    # More are rejected at each step, so the last step that holds is the one before the first failure.
+    return cells.groupBy("own", "stratum").agg(F.max(F.when(binomial_tail(F.col("k"), F.col("n"), alpha) <= level, F.col("g"))).alias("step"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
@@ -147,20 +158,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     ``kept`` is false for a base failure (fewer than 50 words, or over half of
     them in repeated three-word windows) or a share above a certified cutoff.
-    A stratum without enough good labels has no cutoff; a null stratum is one
-    of its own; null and empty texts fail the base; repeated rows are judged
-    each; labels repeated for an id count once, as good if any is; with no
-    labels only the base rules act; other columns are not read.
+    Strata without good labels follow the small ones; a null stratum is one of
+    its own; null and empty texts fail the base; repeated rows are judged each
+    and are one trial; labels repeated for an id count once, as good if any is;
+    with no labels only the base rules act; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"), column(docs, stratum_col).cast("string").alias("stratum"))
     table = measures(rows).select("id", "stratum", "measures", F.xxhash64("text").alias("text_hash"))
     table = scratch.table(table, "measures")
-    cuts = cutoffs(scratch, table, labels, "id", "stratum", "measures", **risk)
-    cuts = scratch.table(cuts.withColumnRenamed("stratum", "of"), "cutoffs")
-    judged = table.join(small(cuts, cuts.count()), table["stratum"].eqNullSafe(cuts["of"]), "left")
-    m = F.col("measures")
-    failed = F.array_compact(F.array(*(F.when(_share(m, r) > F.col(r), F.lit(r)) for r in RULES)))
+    steps = scratch.table(certified(scratch, table, labels, **risk), "steps")
+    rest = steps.where(~F.col("own")).first()  # one row at most
+    own = steps.where("own").select(F.col("stratum").alias("of"), "step", F.lit(True).alias("own"))
+    judged = table.join(small(own, own.count()), table["stratum"].eqNullSafe(own["of"]), "left")
+    m, step = F.col("measures"), F.when(F.col("own"), F.col("step")).otherwise(F.lit(rest["step"] if rest else None).cast("int"))
+    failed = F.array_compact(F.array(*(F.when(_share(m, r) > F.element_at(F.array(*map(F.lit, PATH[r])), step + 1), F.lit(r)) for r in RULES)))
     judged = judged.withColumns({"base_failed": base_failed(m), "failed_rules": failed})
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
     return judged.select(F.col("id").alias(id_col), *(m[x].alias(x) for x in MEASURES), "base_failed", "failed_rules", kept.alias("kept"), "text_hash")
