@@ -23,7 +23,9 @@ from wordloom.llm.common import Scratch, column, small
 from wordloom.llm.components import connected_components
 
 BLOCK = 512
-IN_BUCKET = 8
+#: Vectors in a bucket on average: larger buckets mean fewer tables, so less is
+#: shuffled and more compared, which is cheap by blocks.
+IN_BUCKET = 256
 
 
 def shape(rows: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -41,8 +43,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
-def _codes(classes: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
-    """(cid, m, codes, v): a code for each table, and the vector as doubles."""
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _width(bits: int) -> int:
+    """Bytes of a code."""
+    return 2 if bits <= 16 else 4
+
+
+def _codes(classes: DataFrame, dim: int, bits: int, tables: int, single: bool) -> DataFrame:
+    """(cid, m, codes, v): a code for each table, and the vector in the precision it came in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(8).standard_normal((dim, bits * tables))
@@ -51,15 +65,13 @@ def _codes(classes: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-                codes = ((v @ planes >= 0).reshape(len(v), tables, bits) * weights).sum(axis=2).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("m"), _binary(codes), _binary(v)], names=["cid", "m", "codes", "v"])
+                codes = ((_unit(v) @ planes >= 0).reshape(len(v), tables, bits) * weights).sum(axis=2).astype(f"<u{_width(bits)}")
+                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("m"), _binary(codes), _binary(v.astype("<f4" if single else "<f8"))], names=["cid", "m", "codes", "v"])
 
     return classes.where(F.size("v") == dim).select("cid", "m", "v").mapInArrow(run, "cid long, m long, codes binary, v binary")
 
 
-def _links(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+def _links(rows: DataFrame, bits: int, single: bool, threshold: float) -> DataFrame:
     """(cid, links, root) from each bucket or pair of blocks with links."""
 
     def compared(t: int, cid: np.ndarray, m: np.ndarray, side: np.ndarray, codes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...] | None:
@@ -99,7 +111,7 @@ def _links(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
             raw = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(table.num_rows, -1)
             if table.num_rows < 2:
                 return None
-            out = compared(last[0], get("cid"), get("m"), get("side"), raw("codes", "<u4"), raw("v", "<f8"))
+            out = compared(last[0], get("cid"), get("m"), get("side"), raw("codes", f"<u{_width(bits)}"), _unit(raw("v", "<f4" if single else "<f8")))
             return out and pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["cid", "links", "root"])
 
         for batch in batches:
@@ -134,6 +146,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup-vec")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     v = column(vectors, vector_col).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), F.when(sound, v).alias("v"))
@@ -143,8 +156,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     edges, links = None, None
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy(F.size("v").alias("dim")).count().collect()):
         bits, tables = shape(n, threshold, miss)
-        coded = scratch.table(_codes(classes, dim, bits, tables), "codes")
-        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.substring("codes", t * 4 + 1, F.lit(4))).alias("code"))))
+        coded = scratch.table(_codes(classes, dim, bits, tables, single), "codes")
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.substring("codes", t * _width(bits) + 1, F.lit(_width(bits)))).alias("code"))))
         spots = coded.select("cid", each.alias("x")).select("cid", "x.t", "x.code")
         hot = scratch.table(spots.groupBy("t", "code").count().where(F.col("count") > BLOCK), "hot")
         n_hot = hot.count()
@@ -154,13 +167,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         dealt = dealt.select("t", "code", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "cid", "m", side.alias("side"), "codes", "v")
-        found = scratch.table(_links(dealt, dim, threshold), "found")
+        found = scratch.table(_links(dealt, bits, single, threshold), "found")
         edges = found if edges is None else edges.union(found)
     if edges is None:
         edges = spark.createDataFrame([], "cid long, links long, root long")
     links = edges.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = connected_components(edges.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     least = comp.join(classes.select(F.col("cid").alias("id"), "rep"), "id").groupBy("root").agg(F.min("rep").alias("least"))
+    least = scratch.table(least, "least")
+    least = small(least, least.count())  # a component's members need not meet in one task
     place = classes.select("k1", "k2", "cid", "rep", "m").join(links, "cid", "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left").join(least, "root", "left")
     place = scratch.table(place.select("k1", "k2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("least")), "place")
     out = rows.select("id", "k1", "k2").join(place, ["k1", "k2"], "left")
