@@ -33,7 +33,7 @@ from wordloom.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 WORDS_KEPT = 400_000
 
 
@@ -205,12 +205,12 @@ def _shared(g: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _joined(g: dict, bounds: list, percent: int) -> list[tuple[int, int]]:
-    """Links that join components of a block or pair of blocks.
+    """Links that join components, of strangers (side 0) and members (side 1).
 
-    Unpruned pairs of different components are verified on their whole sets;
+    Two strangers meet on both sides and are compared once.  Unpruned pairs of different components are verified on their whole sets;
     of those that link, a forest over the components is enough.
     """
-    i, j = np.flatnonzero(g["side"] != 1), np.flatnonzero(g["side"] != 0)  # side 2: both, a block with itself
+    i, j = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
     top = {c: c for c in np.unique(g["comp"]).tolist()}
     size = np.array([len(z) for z in g["z"]])
     out = []
@@ -224,7 +224,7 @@ def _joined(g: dict, bounds: list, percent: int) -> list[tuple[int, int]]:
     step = max(1, 100_000 // max(1, len(j)))
     for at in range(0, len(i), step):
         p, q = (v.ravel() for v in np.meshgrid(i[at : at + step], j, indexing="ij"))
-        odd = (g["comp"][p] != g["comp"][q]) & ((g["nid"][p] < g["nid"][q]) | (g["side"][p] != 2))
+        odd = (g["comp"][p] != g["comp"][q]) & ((g["nid"][p] < g["nid"][q]) | ~g["odd"][q])
         odd &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
         p, q = p[odd], q[odd]
         live, _ = _surviving(g["sig"], g["sig"], p, q, bounds)
@@ -247,7 +247,7 @@ def _mates(rows: DataFrame, bounds: list, percent: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             g = pd.concat(held)
-            block = {c: g[c].to_numpy() for c in ("nid", "comp", "side")}
+            block = {c: g[c].to_numpy() for c in ("nid", "comp", "side", "odd")}
             block |= {"sig": _signatures(g["sig"]), "z": [np.frombuffer(z, np.uint64) for z in g["z"]]}
             return pd.DataFrame(_joined(block, bounds, percent), columns=["a", "b"], dtype=np.int64)
 
@@ -272,23 +272,34 @@ def _mates(rows: DataFrame, bounds: list, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of gatherings that still hold two components, dealt to block pairs."""
-    known = scratch.table(members.join(comp.withColumnRenamed("id", "nid"), "nid", "left").select("pivot", "nid", F.coalesce("root", "nid").alias("comp")), "known")
-    mixed = known.groupBy("pivot").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c > 2")
-    mixed = scratch.table(mixed.select("pivot", F.ceil(F.col("c") / BLOCK).cast("int").alias("n")), "mixed")
-    rows = known.join(small(mixed, mixed.count()), "pivot").join(nodes.select("nid", "sig"), "nid").join(sets, "nid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = rows.select("pivot", "nid", "comp", "sig", "z", "own", other.alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.select("pivot", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "nid", "comp", "sig", "z", side.alias("side"))
+    """Members of gatherings that still hold two components, dealt to block pairs.
+
+    Strangers, whose component is not the pivot's, are one side and all members
+    the other, so a few strangers in a large gathering cost a few copies of it.
+    Blocks are bounded by their sets' bytes as well.
+    """
+    known = members.join(comp.withColumnRenamed("id", "nid"), "nid", "left").join(nodes.select("nid", (8 * F.col("n")).alias("bytes")), "nid")
+    known = scratch.table(known.select("pivot", "nid", "bytes", F.coalesce("root", "nid").alias("comp")), "known")
+    blocks = lambda *names: [F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias(names[0])]
+    main = F.max(F.when(F.col("nid") == F.col("pivot"), F.col("comp"))).alias("main")
+    mixed = known.groupBy("pivot").agg(*blocks("n"), main, F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c > 2").select("pivot", "n", "main")
+    mixed = scratch.table(mixed, "mixed")
+    rows = known.join(small(mixed, mixed.count()), "pivot").withColumn("odd", F.col("comp") != F.col("main"))
+    strange = scratch.table(rows.where("odd").groupBy("pivot").agg(*blocks("s")), "strange")
+    rows = rows.join(small(strange, strange.count()), "pivot").join(nodes.select("nid", "sig"), "nid").join(sets, "nid")
+    own = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ("nid", "comp", "odd", "sig", "z")
+    left = rows.where("odd").select("pivot", own("s").alias("bi"), every("n").alias("bj"), *keep, F.lit(0).alias("side"))
+    right = rows.select("pivot", every("s").alias("bi"), own("n").alias("bj"), *keep, F.lit(1).alias("side"))
+    return left.union(right)
 
 
 def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, percent: int, miss: float) -> DataFrame:
     """(id, hash of the text, n, top, kept) of each row; top is the least id of the group."""
     bounds = least_matches(percent / 100, miss)
     prints = scratch.table(fingerprints(docs, id_col, text_col, shingle), "prints")
-    classes = prints.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    classes = prints.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = scratch.table(classes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = nodes.select("nid", F.explode(keys).alias("bkey"))
@@ -304,7 +315,8 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shing
     more = scratch.table(_mates(_blocks(members, comp, involved, sets, scratch), bounds, percent), "links")
     comp = connected_components(edges.union(more), scratch)
     least = comp.join(nodes.select(F.col("nid").alias("id"), "rep"), "id").groupBy("root").agg(F.min("rep").alias("least"))
-    placed = comp.join(least, "root").select(F.col("id").alias("nid"), "least")
+    least = scratch.table(least, "least")
+    placed = comp.join(small(least, least.count()), "root").select(F.col("id").alias("nid"), "least")
     place = nodes.join(placed, "nid", "left").select("cls", F.coalesce("least", "rep").alias("least"))
     place = scratch.table(place, "place")
     scratch.drop(members, sets, involved)
