@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import Scratch
-from wordloom.llm.entries import GROWTH, TARGETS
+from wordloom.llm.entries import MIX, TARGETS
 from wordloom.llm.mixing import labelled_domains, mixed
 from wordloom.llm.neardup_text import without_near_duplicates
 from wordloom.llm.packing import pack
@@ -40,7 +40,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fitted mixing says; clean ones stay, some twice."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixed(docs, labelled_domains(labels), TARGETS, budget="clean", growth=GROWTH)
+    return mixed(docs, labelled_domains(labels), TARGETS, **MIX)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

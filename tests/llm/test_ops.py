@@ -200,6 +200,19 @@ def test_rules_keep_the_promise(spark, docs, labels):
     assert bad and not any(i % 10 for i in bad)
 
 
+def test_rules_take_equal_texts_as_one_trial_and_pool_small_strata(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, words(i, 60), f"l{i % 4}") for i in range(480)] + [(1000 + i, words(0, 60), "l9") for i in range(600)]
+    rows += [(2000 + i, words(i, 50) + " ####" * 20, f"l{i % 5}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1) for i in range(1600)], "doc_id long, quality int")
+    got = rules.quality_rules(df, good).collect()
+    # 120 texts in each of four strata and one text, 600 times, in another: together enough for a cutoff.
+    assert {r["doc_id"] for r in got if not r["kept"]} == {r[0] for r in rows if r[0] >= 2000}
+    few = rules.quality_rules(df.where("lang = 'l9' or doc_id >= 2000"), good).collect()
+    assert all(r["kept"] for r in few)
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.2), (5, 1000, 0.02), (150, 10_000, 0.02), (4, 21, 0.4), (30, 20, 0.5)]
     for k, n, p in cases[:5]:
@@ -338,6 +351,8 @@ def test_mixing_meets_targets(spark, docs, labels):
     keep = mixing.mixed(df, dom, {"clean": 0.9, "junk": 0.1}, budget="clean")
     n = Counter(bool(r["doc_id"] % 3) for r in keep.collect())
     assert n[True] == pytest.approx(800, abs=8) and 60 < n[False] < 120
+    scarce = mixing.report(df, dom, {"clean": 0.2, "junk": 0.8}, budget="clean", at_most=("junk",))
+    assert scarce.agg(F.max("copies")).first()[0] <= 2 and scarce.where("doc_id % 3 = 0").agg(F.sum("copies")).first()[0] <= 420
     grown = mixing.report(df, dom, {"clean": 0.9, "junk": 0.1}, budget="clean", growth=1.25).where("doc_id % 3 <> 0")
     assert grown.where("copies = 0").count() == 0 and grown.agg(F.sum("copies")).first()[0] == pytest.approx(1000, rel=0.02)
 
@@ -349,7 +364,7 @@ def test_mixing_equals_brute_force(spark, docs, labels):
     dom, names = mixing.labelled_domains(labels), tuple(sorted(entries.TARGETS))
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     mixer = mixing.fit_classifier(rows, dom, names, Scratch(spark, "test"))
-    got = {r["doc_id"]: r for r in mixing.report(docs, dom, entries.TARGETS, budget="clean", growth=entries.GROWTH).collect()}
+    got = {r["doc_id"]: r for r in mixing.report(docs, dom, entries.TARGETS, **entries.MIX).collect()}
     words = {r["id"]: [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"].lower()) if w] for r in rows.collect()}
     distinct = sorted({w for v in words.values() for w in v})
     known = dict(zip(distinct, (r[0] for r in spark.createDataFrame(list(enumerate(distinct)), "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()), strict=True))
@@ -368,13 +383,14 @@ def test_mixing_equals_brute_force(spark, docs, labels):
         p.append([got[i][f"p_{d}"] for d in names])
     tokens, p = np.array(tokens, float), np.array(p)
     have = tokens @ p
-    goal = np.array([entries.TARGETS[d] for d in names]) * have[names.index("clean")] / entries.TARGETS["clean"] * entries.GROWTH
+    goal = np.array([entries.TARGETS[d] for d in names]) * have[names.index("clean")] / entries.TARGETS["clean"] * entries.MIX["growth"]
+    goal = np.where([d in entries.MIX["at_most"] for d in names], np.minimum(goal, have), goal)
     weight, r = np.linalg.pinv(p.T @ (tokens[:, None] * p)), np.ones(len(tokens))
     for _ in range(60):
         off = (tokens * r) @ p - goal
         if np.all(np.abs(off) <= 1e-4 * goal):
             break
-        r = np.maximum(0, r - p @ (weight @ off))
+        r = np.clip(r - p @ (weight @ off), 0, 8)
     assert [got[i]["rate"] for i in sorted(words)] == pytest.approx(r.tolist(), abs=1e-6)
     assert all(got[i]["copies"] in (math.floor(x), math.floor(x) + 1) for i, x in zip(sorted(words), r, strict=True))
 
@@ -392,7 +408,7 @@ def test_softmax_regression_is_at_its_least():
 
 def test_mixing_odd_rows(spark, odd, labels):
     dom = mixing.labelled_domains(labels)
-    how = {"budget": "clean", "growth": entries.GROWTH}
+    how = entries.MIX
     assert mixing.report(odd, dom, entries.TARGETS, **how).count() == 15
     out = mixing.mixed(odd, dom, entries.TARGETS, **how)
     assert out.columns == odd.columns and {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd.collect()}

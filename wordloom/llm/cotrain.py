@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import Scratch, column, small
 
-#: The classifiers are fitted on at most about so many labelled rows, taken by
-#: the hash of their id, and on all unlabelled ones.
+#: The classifiers are fitted on at most about so many labelled rows, drawn one by
+#: one, and on all unlabelled ones.
 MAX_LABELLED = 6000
 WORDS_DIM, PAGE_DIM = 1 << 13, 1 << 9
 ROUNDS, SHARE = 4, 0.1
@@ -242,9 +242,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     scratch = Scratch(docs.sparkSession, "cotrain")
     rows = docs.select(*(column(docs, c).cast(k).alias(n) for c, k, n in ((id_col, docs.schema[id_col].dataType.simpleString(), "id"), (text_col, "string", "text"), (lang_col, "string", "lang"), (source_col, "string", "source"))))
     known_labels = labels.where(F.col(label_col).isNotNull()).groupBy(column(labels, id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    under = lambda limit, count: F.pmod(F.xxhash64("id", F.lit("cotrain")), F.lit(1_000_000)) < int(min(1.0, limit / max(count, 1)) * 1_000_000)
     total = known_labels.count()
-    known_labels = known_labels.select("id", F.when(under(max_labelled, total), F.col("y")).otherwise(-2).cast("int").alias("y"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Buckets()
@@ -259,8 +257,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     kind = rows.schema["id"].dataType.simpleString()
     packed = rows.mapInPandas(features, f"id {kind}, a binary, n binary, p binary").join(small(known_labels, total), "id", "left")
-    packed = scratch.table(packed.withColumn("y", F.coalesce("y", F.lit(-1))), "packed")
-    labelled = packed.where("y >= 0").select("y", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(4)).cast("int").alias("u"), "a", "n", "p").toPandas()  # about max_labelled rows
+    packed = scratch.table(packed.select("id", "a", "n", "p", F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y"), F.xxhash64(F.monotonically_increasing_id()).alias("u")), "packed")
+    # Rows are drawn, not ids, so an id that many rows share is drawn like others.
+    n = packed.where("y >= 0").count()
+    drawn = F.pmod(F.shiftright("u", 8), F.lit(1_000_000)) < int(min(1.0, max_labelled / max(n, 1)) * 1_000_000)
+    labelled = packed.where((F.col("y") >= 0) & drawn).select("y", F.pmod("u", F.lit(4)).cast("int").alias("u"), "a", "n", "p").toPandas()  # about max_labelled rows
     model = cotrain(labelled.sort_values(["y", "u", "p", "a"], kind="stable"), packed.where("y = -1").select("a", "n", "p")) if len(labelled) else None
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,8 @@ Each input partition tokenizes its documents, cuts only those longer than a
 sequence and packs the pieces best-fit by falling length.  Nearly full bins
 are final; the others go up a tree as items of their fill and are packed again
 with the bins of other partitions, until one group is left or a round gains
-nothing.  A group never holds more than ``max_items`` bins, whatever the input.
+nothing more than one bin in a thousand.  A group never holds more than
+``max_items`` bins, whatever the input.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _NUMERAL = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t-\r \x85\xa0"
 _PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMERAL}]|[^{_LETTER}{_NUMERAL}{_SPACE}]+")
 PARTS_KEPT = 600_000
+#: A task packs its pieces when it holds so many.
+HELD = 500_000
 
 
 class WordTokenizer:
@@ -126,6 +129,20 @@ def _local(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokenizer_at(tokenizer)
         cols: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "crc", *(["ids"] if with_ids else []))}
+        first = TaskContext.get().partitionId() << 36
+
+        def told() -> Iterator[pd.DataFrame]:
+            nonlocal first
+            out = pd.DataFrame(cols)
+            out["id"] = out["id"].astype("Int64")
+            out["bin"], out["offset"] = best_fit(out["length"].to_numpy(), capacity)
+            out["bin"] += first
+            first = int(out["bin"].max()) + 1
+            for v in cols.values():
+                v.clear()
+            for lo in range(0, len(out), 10_000):
+                yield out.iloc[lo : lo + 10_000]
+
         for batch in batches:
             ids, texts = batch["id"].tolist(), batch["text"].tolist()
             for lo in range(0, len(texts), 64):
@@ -140,13 +157,10 @@ def _local(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
                         cols["crc"].append(zlib.crc32(part))
                         if with_ids:
                             cols["ids"].append(part)
+                if len(cols["id"]) >= HELD:
+                    yield from told()
         if cols["id"]:
-            out = pd.DataFrame(cols)
-            out["id"] = out["id"].astype("Int64")
-            out["bin"], out["offset"] = best_fit(out["length"].to_numpy(), capacity)
-            out["bin"] += TaskContext.get().partitionId() << 36
-            for lo in range(0, len(out), 10_000):
-                yield out.iloc[lo : lo + 10_000]
+            yield from told()
 
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     extra = ", ids binary" if with_ids else ""
@@ -189,7 +203,9 @@ def pack(
         first[place[::-1]] = names[::-1]
         return pd.DataFrame({"bin": names, "root": first[place], "shift": offset, "fill": group["fill"].to_numpy()})
 
-    for turn in range(64):
+    turn = 0
+    while True:
+        turn += 1
         low = bins.where(F.col("fill") < capacity - slack).agg(F.min("fill")).first()[0]
         if low is None:
             break
@@ -211,7 +227,7 @@ def pack(
             bins = scratch.table(kept, "bins")
         else:
             bins = step.select("bin", "fill")
-        if groups == 1 or (n > max_items and gain < n / 1000):
+        if groups == 1 or gain * 1000 < n:
             break
     if moved is not None:
         pieces = pieces.join(small(moved, moved.count()), "bin", "left")
