@@ -75,11 +75,82 @@ def test_vectors_in_an_index(spark, tmp_path):
     assert all(not r["ai"] for r in idx.search("phone", embedding=[1.0, 0.1]).collect())
     path = f"file://{tmp_path}/vec"
     idx.save_vectors(path)
-    assert snapshot.load_vectors(spark, path)[3]["threshold"] == 0.6
+    assert snapshot.load_vectors(spark, path)[3]["ai_category_threshold"] == 0.6
     assert snapshot.load_vectors(spark, path + "-none") is None
     assert idx.list_categories().count() == 1
 
 
+def test_repeated_ids_in_one_upload(spark):
+    idx = Catalog(spark).create_index("r", ["name"])
+    idx.add(spark.createDataFrame([(1, "old apple"), (2, "pear"), (1, "new apple")], "id int, name string").coalesce(1))
+    assert [(r["id"], r["data"]["name"]) for r in idx.search("apple").collect()] == [("1", "new apple")] and not idx.search("old").collect()
+
+
+def test_documents_are_fetched_where_they_are(spark, tmp_path):
+    idx = Catalog(spark).create_index("f", ["name"])
+    idx.add(spark.createDataFrame([(i, f"tea {i}") for i in range(50)], "id int, name string"))
+    idx.materialize(f"file://{tmp_path}/f")
+    plan = idx.search("tea", k=5)._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing outer: neither the documents nor a popularity that no document has.
+    assert "Join Inner" in plan and "LeftOuter" not in plan
+    assert len(idx.search("tea", k=5).collect()) == 5
+
+
+def test_vector_life(spark, tmp_path):
+    class Letters:
+        """Embeds by letters; fails on a word."""
+
+        def __call__(self, texts):
+            if any("broken" in t for t in texts):
+                raise OSError("down")
+            return [[float(t.count("a")), float(t.count("o")), float(t.count("e"))] for t in texts]
+
+    cat = Catalog(spark)
+    idx = cat.create_index("life", ["name"])
+    rows = [("1", "banana mama"), ("2", "papaya mama"), ("3", "bobo moon"), ("4", "broken"), ("5", "xyz")]
+    idx.add(spark.createDataFrame(rows, "id string, name string").coalesce(1))
+    idx.enable_ai(Letters())
+    assert idx.categorize() == {"ok": 3, "failed": 2} and idx.ai_enabled()
+    assert (idx.ai_document_count(), idx.category_count()) == (3, 2)
+    first = idx.ai_document("1")
+    assert first["categories"] == ["cat-1"] and first["norm"] == 5.0 and idx.ai_document("4") is None
+    assert [(r["id"], r["ai"]) for r in idx.search("mama papaya").collect() if r["ai"]][0][0] in ("1", "2")
+    assert not [r for r in idx.search("broken mama").collect() if r["ai"]]  # the query's embedding fails
+    idx.upsert({"document": {"id": "1", "name": "moon bobo"}})
+    idx.categorize_document("1")
+    again = idx.ai_document("1")
+    assert again["categories"] == ["cat-2"] and again["created_at"] == first["created_at"]
+    assert {r["name"]: (r["count"], r["centroid"]) for r in idx.list_categories().collect()} == {"cat-1": (1, [5.0, 0.0, 0.0]), "cat-2": (2, [0.0, 8.0, 0.0])}
+    with pytest.raises(c.InvalidRequest):
+        idx.categorize_document("4")
+    idx.save(f"file://{tmp_path}/docs")
+    idx.save_vectors(f"file://{tmp_path}/vec")
+    back = Catalog(spark, c.Knobs(ai_category_threshold=0.9)).load("life", f"file://{tmp_path}/docs", f"file://{tmp_path}/vec")
+    assert back.knobs.ai_category_threshold == 0.6 and back.category_count() == 2
+    assert back.remove_document("2") and not back.remove_document("2")
+    assert back.category_count() == 1 and back.ai_document_count() == 2
+    assert back.delete("3") and back.ai_document_count() == 1
+    assert back.filter_fields() == [] and back.stored_document_count() == 4
+    assert back.compact(f"file://{tmp_path}/c") == {"stored_before": 4, "stored_after": 4, "active_after": 4, "removed_versions": 0}
+
+
+def test_query_tokens_are_counted_without_a_job(spark):
+    from wordloom.functions.text import count_tokens, tokenize
+
+    texts = ["", "the and", "a b\u2003c", "foo-bar ¼ é́x", "!! the1 x\x1cy", "Ünï\u0085 co"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(tokenize(F.col("t")))).collect()
+    assert [count_tokens(t) for t in texts] == [r[0] for r in got]
+
+
+def test_prefix_refresh_can_be_skipped(spark):
+    docs = spark.createDataFrame([("1", "pearl peach")], "id string, name string")
+    for skip in (False, True):
+        idx = Catalog(spark, c.Knobs(skip_update_prefix=skip)).create_index("p", ["name"])
+        idx.add(docs)
+        before = idx.tables.prefixes
+        assert (idx.refresh_prefixes() is before) == skip
+
+
 def test_one_document_checks(spark):
     for bad in ({}, {"document": {"name": "x"}}, {"document": {"id": ""}}, {"document": {"id": "1"}, "more": 1}, {"document": {"id": "x" * 257}}):
         with pytest.raises(c.InvalidRequest):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # White space (as inside a character class) and stop words.
 WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WHITE = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 STOPWORDS = ("a", "the", "and")
 SCORE_UNIT = 100_000
 
@@ -26,6 +30,12 @@ def tokenize(text: Column) -> Column:
     return words
 
 
+def count_tokens(text: str) -> int:
+    """How many tokens ``tokenize`` finds in a query, without a job."""
+    kept = ("".join(c for c in w if unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nd") for w in _WHITE.split(text))
+    return sum(bool(w) and w.lower() not in STOPWORDS for w in kept)
+
+
 def _texts(col: Column, kind: T.DataType) -> Column | None:
     """The strings of a field that are indexed, as an array; None for others."""
     if isinstance(kind, T.StringType):

@@ -32,9 +32,9 @@ def fuzzy_cap(token: Column) -> Column:
     return _by_bytes(token, ((4, 30), (6, 20)), 10)
 
 
-#: Batches of at most so many query tokens are sent to every task; each token
-#: has some fifty candidates at most, so their table is bounded as well.
-BROADCAST_TOKENS = 20_000
+#: Batches of at most so many query tokens are sent to every task; each token has
+#: fifty candidates at most, so at most 400,000 short rows go with them.
+BROADCAST_TOKENS = 8_000
 
 
 def _plain(df: DataFrame) -> DataFrame:

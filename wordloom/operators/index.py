@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,14 +15,17 @@ from wordloom.functions import text as fn
 FUZZY_LEAST = 4
 
 
-def live_documents(raw: DataFrame, config: IndexConfig, version: str | None = None) -> DataFrame:
+def live_documents(raw: DataFrame, config: IndexConfig, version: str | None = None, distinct: bool = False) -> DataFrame:
     """Documents with a usable id as string column ``id``, the last version of each.
 
-    Without a ``version`` column the input holds each id once.
+    Without a ``version`` column the last row read counts.  ``distinct`` tells
+    that no id is repeated, which saves dealing the documents by id.
     """
     df = raw.withColumn("id", fn.plain_text(raw[config.id_field], raw.schema[config.id_field].dataType))
     df = df.where(F.col("id").isNotNull() & ~F.col("id").isin("", "<nil>"))
-    return latest(df, version) if version else df
+    if version or distinct:
+        return latest(df, version) if version else df
+    return latest(df.withColumn("__order", F.monotonically_increasing_id()), "__order").drop("__order")
 
 
 def latest(df: DataFrame, version: str) -> DataFrame:
@@ -31,21 +34,32 @@ def latest(df: DataFrame, version: str) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-def weighted_tokens(docs: DataFrame, config: IndexConfig) -> DataFrame:
-    """(id, term, s) for every token: the share of its field in the document."""
-    tokens = {f: fn.field_tokens(docs, f) for f in config.index_fields}
-    rows = docs.select("id", *(t.alias(f"t{i}") for i, t in enumerate(tokens.values())))
-    total = sum((F.size(f"t{i}") * config.weight(f) for i, f in enumerate(tokens)), F.lit(0)).cast("bigint")
-    rows = rows.withColumn("total", total).where("total > 0")
-    share = lambda f: F.greatest(F.expr(f"{fn.SCORE_UNIT * config.weight(f)}L div total"), F.lit(1).cast("bigint"))
-    fields = F.array(*(F.struct(F.col(f"t{i}").alias("terms"), share(f).alias("s")) for i, f in enumerate(tokens)))
-    each = rows.select("id", F.explode(fields).alias("f"))
-    return each.select("id", F.explode("f.terms").alias("term"), F.col("f.s").alias("s"))
-
-
 def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
-    """(term, id, score): the summed shares of a term in a document."""
-    return weighted_tokens(docs, config).groupBy("id", "term").agg(F.sum("s").alias("score")).select("term", "id", "score")
+    """(term, id, score): the summed shares of a term in a document.
+
+    A token's share is that of its field.  All tokens of a document are in one
+    row, so they are sorted and summed there and no row is dealt by document.
+    """
+    tokens = [fn.field_tokens(docs, f) for f in config.index_fields]
+    rows = docs.select("id", *(t.alias(f"t{i}") for i, t in enumerate(tokens)))
+    total = sum((F.size(f"t{i}") * config.weight(f) for i, f in enumerate(config.index_fields)), F.lit(0)).cast("bigint")
+    rows = rows.withColumn("total", total).where("total > 0")
+    share = [F.greatest(F.expr(f"{fn.SCORE_UNIT * config.weight(f)}L div total"), F.lit(1).cast("bigint")) for f in config.index_fields]
+    if len(tokens) == 1:
+        rows = rows.select("id", F.sort_array("t0").alias("t"), share[0].alias("s"))
+        term, score = lambda i: F.get("t", i), lambda a, b: (b - a) * F.col("s")
+    else:
+        rows = rows.select("id", F.sort_array(F.concat(*(_shared(F.col(f"t{i}"), s) for i, s in enumerate(share)))).alias("t"))
+        term, score = lambda i: F.get("t", i)["t"], lambda a, b: F.aggregate(F.slice("t", a + 1, b - a), F.lit(0).cast("bigint"), lambda n, x: n + x["s"])
+    first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    rows = rows.withColumn("first", first)
+    ends = F.array_append(F.slice("first", F.lit(2), F.size("first")), F.size("t"))
+    each = rows.select("id", F.explode(F.zip_with("first", ends, lambda a, b: F.struct(term(a).alias("term"), score(a, b).cast("bigint").alias("score")))).alias("x"))
+    return each.select("x.term", "id", "x.score")
+
+
+def _shared(tokens: Column, share: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("t"), share.alias("s")))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:

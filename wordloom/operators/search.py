@@ -16,22 +16,25 @@ FilterSpec = Mapping[str, Sequence[str]]
 
 
 def allowed_ids(filters: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Ids with any of the values of every field; an empty list allows nothing."""
+    """Ids with any of the values of every field, some repeatedly; an empty list allows nothing."""
     wanted = F.lit(False)
     for name, values in spec.items():
         wanted = wanted | ((F.col("field") == name) & F.col("value").isin(*values) if values else F.lit(False))
-    met = filters.where(wanted).groupBy("id").agg(F.count_distinct("field").alias("n"))
-    return met.where(F.col("n") == len(spec)).select("id")
+    met = filters.where(wanted)
+    if len(spec) == 1:
+        return met.select("id")
+    return met.groupBy("id").agg(F.count_distinct("field").alias("n")).where(F.col("n") == len(spec)).select("id")
 
 
-def scored(cands: DataFrame, postings: DataFrame) -> DataFrame:
+def scored(cands: DataFrame, postings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of documents that match every group of a query.
 
     Within a group the first matching candidate counts, over groups the scores
-    add up.  Rows are dealt by query and document once, which serves both sums.
+    add up.  Rows are dealt by document once, which serves the filter, both
+    sums and whatever is joined by document later; filters act first.
     """
     hits = postings.join(cands, "term").select("query_id", "n_groups", "group_no", "id", "cand_rank", (F.col("score") * F.col("boost")).alias("s"))
-    hits = hits.repartition("query_id", "id")
+    hits = hits.repartition("id") if allowed is None else hits.join(allowed, "id", "left_semi")
     groups = hits.groupBy("query_id", "id", "group_no", "n_groups").agg(F.min_by("s", "cand_rank").alias("s"))
     both = groups.groupBy("query_id", "id", "n_groups").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
     return both.where("matched = n_groups").select("query_id", "id", "score")
@@ -39,8 +42,7 @@ def scored(cands: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _hits(queries: DataFrame, tables: Tables, knobs: Knobs, filters: FilterSpec | None, few: bool) -> DataFrame:
     cands = candidates(queries, tables, knobs, few)
-    hits = scored(F.broadcast(cands) if few else cands, tables.postings)
-    return hits.join(allowed_ids(tables.filters, filters), "id", "left_semi") if filters else hits
+    return scored(F.broadcast(cands) if few else cands, tables.postings, allowed_ids(tables.filters, filters) if filters else None)
 
 
 def search_batch(queries: DataFrame, tables: Tables, knobs: Knobs = Knobs(), k: int | None = None, filters: FilterSpec | None = None, few: bool | None = None) -> DataFrame:
@@ -65,19 +67,22 @@ def _one(query: str, tables: Tables) -> DataFrame:
 
 def search(query: str, tables: Tables, knobs: Knobs = Knobs(), k: int | None = None, filters: FilterSpec | None = None) -> DataFrame:
     """(rank, id, score) of one query."""
-    return search_batch(_one(query, tables), tables, knobs, k, filters, few=len(query) <= BROADCAST_TOKENS).drop("query_id")
+    return search_batch(_one(query, tables), tables, knobs, k, filters, few=True).drop("query_id")
 
 
 def any_hits(query: str, tables: Tables, k: int, knobs: Knobs = Knobs(), filters: FilterSpec | None = None) -> DataFrame:
     """Some k matching documents, unranked: the scan may stop early."""
-    hits = _hits(_one(query, tables), tables, knobs, filters, len(query) <= BROADCAST_TOKENS)
+    hits = _hits(_one(query, tables), tables, knobs, filters, True)
     return hits.select("id", "score").limit(k)
 
 
 def with_data(hits: DataFrame, tables: Tables, ai: bool = False) -> DataFrame:
-    """Hits with their whole document, fetched after ranking."""
+    """Hits with their whole document, fetched after ranking.
+
+    Hits are a result's few rows, so they go to where the documents are.
+    """
     docs = tables.documents.select("id", F.struct(*(c for c in tables.documents.columns if c != "id")).alias("data"))
-    return hits.join(docs, "id", "left").withColumn("ai", F.lit(ai))
+    return docs.join(F.broadcast(hits), "id").select(*hits.columns, "data", F.lit(ai).alias("ai"))
 
 
 def to_response(hits: DataFrame, index: str, query: str) -> DataFrame:

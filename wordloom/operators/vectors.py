@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,10 +38,32 @@ def centroids(members: DataFrame) -> DataFrame:
     return each.groupBy("name", "pos").agg(F.sum("x").alias("total"), F.count("*").alias("n"))
 
 
+def subtract(sums: DataFrame, gone: DataFrame) -> DataFrame:
+    """Centroid sums without those of removed members; categories left empty go."""
+    less = gone.select("name", "pos", F.col("total").alias("less"), F.col("n").alias("fewer"))
+    left = sums.join(less, ["name", "pos"], "left").select("name", "pos", (F.col("total") - F.coalesce("less", F.lit(0.0))).alias("total"), (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("n"))
+    return left.where("n > 0")
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: no nulls, not all zero."""
+    return F.coalesce(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+
+
+def embedding_counts(vectors: DataFrame) -> DataFrame:
+    """One row: vectors that can be clustered, and those that failed or have no direction."""
+    return vectors.agg(F.count_if(usable(F.col("vector"))).alias("ok"), F.count_if(~usable(F.col("vector"))).alias("failed"))
+
+
+def of_sums(sums: DataFrame) -> DataFrame:
+    """(name, centroid, norm, count) of centroid sums by position."""
+    sums = sums.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("c"), F.max("n").alias("count"))
+    return sums.select("name", F.col("c.total").alias("centroid"), fn.norm(F.col("c.total")).alias("norm"), "count")
+
+
 def categories(members: DataFrame) -> DataFrame:
     """(name, centroid, norm, count): categories whose members are gone have no row."""
-    sums = centroids(members).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("c"), F.max("n").alias("count"))
-    return sums.select("name", F.col("c.total").alias("centroid"), fn.norm(F.col("c.total")).alias("norm"), "count")
+    return of_sums(centroids(members))
 
 
 def nearest_categories(cats: DataFrame, query: Sequence[float], n: int = Knobs.ai_search_top_n_categories) -> DataFrame:
@@ -111,33 +133,55 @@ class Clusters:
         return True
 
 
-def cluster_incremental(vectors: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+def cluster_incremental(vectors: DataFrame, knobs: Knobs = Knobs(), start: Sequence[tuple[str, Sequence[float], int]] = ()) -> DataFrame:
     """(id, categories) of (id, ord, vector), folded in the order of ``ord``.
 
     Each vector's place depends on all before it, so one task reads them in
-    order, batch by batch; it holds the categories' sums alone.
+    order, batch by batch; it holds the categories' sums alone, at most
+    ``ai_max_categories``.  ``start`` names categories that exist with their
+    sums and counts, so later vectors resume where a written fold ended.
     """
 
     ship(vectors.sparkSession)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clusters = Clusters(knobs.ai_category_threshold, knobs.ai_max_categories_per_doc, knobs.ai_max_categories, members=False)
+        names = [name for name, _, _ in start]
+        clusters.sums, clusters.counts = [np.asarray(total, np.float64) for _, total, _ in start], [n for _, _, n in start]
+        after = max((int(n.rpartition("-")[2]) for n in names if n.rpartition("-")[2].isdigit()), default=0)
         for batch in batches:
-            rows = [(k, [f"cat-{i + 1}" for i in clusters.add(k, v)]) for k, v in zip(batch["id"], batch["vector"], strict=True) if v is not None and np.any(v)]
+            rows = []
+            for k, v in zip(batch["id"], batch["vector"], strict=True):
+                if v is not None and np.any(v):
+                    chosen = clusters.add(k, v)
+                    names += [f"cat-{after + i + 1 - len(start)}" for i in range(len(names), len(clusters.sums))]
+                    rows.append((k, [names[i] for i in chosen]))
             yield pd.DataFrame(rows, columns=["id", "categories"])
 
     ordered = vectors.select("id", "ord", "vector").repartition(1).sortWithinPartitions("ord", "id").select("id", "vector")
     return ordered.mapInPandas(fold, "id string, categories array<string>")
 
 
-def embed(docs: DataFrame, content: str, model: Callable[[list[str]], list[Sequence[float]]], batch: int = 256) -> DataFrame:
-    """(id, vector) from a callable that turns texts into vectors, in batches."""
+def embed(docs: DataFrame, content: str, model: Callable[[list[str]], list[Sequence[float]]], batch: int = 256, tolerant: bool = False) -> DataFrame:
+    """(id, vector) from a callable that turns texts into vectors, in batches.
+
+    With ``tolerant`` a failed batch is asked for text by text, and a text that
+    fails alone has a null vector; otherwise the failure is raised.
+    """
     ship(docs.sparkSession)
 
+    def asked(texts: list[str]) -> list[list[float] | None]:
+        try:
+            return [list(map(float, v)) for v in model(texts)]
+        except Exception:  # any failure of the service counts against its texts alone
+            if not tolerant:
+                raise
+            return [None] if len(texts) == 1 else [v for t in texts for v in asked([t])]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lo in range(0, len(part), batch):
                 some = part.iloc[lo : lo + batch]
-                yield pd.DataFrame({"id": some["id"], "vector": [list(map(float, v)) for v in model(some["text"].tolist())]})
+                yield pd.DataFrame({"id": some["id"], "vector": asked(some["text"].tolist())})
 
     return docs.select("id", F.col(content).alias("text")).mapInPandas(run, "id string, vector array<float>")

@@ -29,7 +29,8 @@ vocab AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 
 DOCS = postings("documents", "doc_id", {"text": 1})
 PARTS = postings("part", "p_partkey", {"p_name": 3, "p_type": 1, "p_brand": 1})
-TALKS = postings("(SELECT conv_id, list_distinct(list(role)) AS role, min(text) FILTER (WHERE turn = 0) AS text FROM conversations GROUP BY conv_id)", "conv_id", {"text": 1})
+# The tokens of a conversation are those of all its turns.
+TALKS = postings("(SELECT conv_id, string_agg(text, ' ') AS text FROM conversations GROUP BY conv_id)", "conv_id", {"text": 1})
 DELETES = "SELECT term, df, unnest(list_distinct(list_append(list_transform(range(1, length(term) + 1), lambda i: term[1:i-1] || term[i+1:length(term)]), term))) AS key FROM vocab WHERE length(term) >= 4"
 
 
@@ -143,6 +144,15 @@ ORACLES: dict[str, str] = {
     "embed_content": "SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), CAST(p_size AS VARCHAR), nullif(p_brand, '')) AS content FROM part",
     "snapshot_roundtrip": f"WITH {PARTS} SELECT term, count(*) AS df, CAST(sum(score) AS BIGINT) AS score FROM post GROUP BY term",
     "json_ingest": "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS BIGINT) AS p_size FROM part",
+    "json_array_ingest": "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS BIGINT) AS p_size FROM part",
+    "single_document_upsert": "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name FROM part WHERE p_partkey <> 1 UNION ALL VALUES ('1', 'upserted 1'), ('new', 'upserted new')",
+    "bulk_repeated_ids": "SELECT CAST(doc_id % 100 AS VARCHAR) AS id, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY doc_id % 100",
+    "early_stop": f"WITH {DOCS} SELECT least(5, count(*)) AS n, least(5, count(*)) AS n_match FROM post WHERE term = 'that'",
+    "deleted_never_found": search(postings("(SELECT * FROM documents WHERE doc_id % 7 <> 0)", "doc_id", {"text": 1}), ["that", "with"], 30),
+    "word_file": "SELECT DISTINCT p_brand AS word FROM part",
+    "zero_vectors_rejected": "SELECT count(*) FILTER (WHERE vec_id % 10 <> 0) AS ok, count(*) FILTER (WHERE vec_id % 10 = 0) AS failed FROM embeddings",
+    "centroid_subtract": f"SELECT name, CAST(pos AS INTEGER) AS pos, round(total, 6) AS total, n FROM ({_SUMS.replace(_EMB, _EMB + ' WHERE vec_id % 3 <> 0')})",
+    "vector_state_roundtrip": f"SELECT name, max(n) AS members, max(n) AS count, round(sqrt(sum(total * total)), 6) AS norm, 0.6::DOUBLE AS threshold FROM ({_SUMS}) GROUP BY name",
     "csv_ingest": "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part",
     "latency_nearest_rank": "SELECT event_type AS mode, count(value) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type",
     "status_counts": "SELECT event_type AS mode, count(*) AS n, count(*) FILTER (WHERE value > 100) AS errors FROM events GROUP BY event_type",
@@ -154,6 +164,9 @@ ORACLES: dict[str, str] = {
 ORACLES |= {name: search(DOCS, _words(text), k, _allowed("documents", "doc_id", spec)) for name, (text, k, spec) in SEARCHES.items()}
 _POPULAR = "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(trunc(p_retailprice) AS BIGINT) AS popularity FROM part WHERE trunc(p_retailprice) > 0"
 ORACLES |= {name: search(PARTS, _words(text), k, _allowed("part", "p_partkey", spec), _POPULAR) for name, (text, k, spec) in PART_SEARCHES.items()}
+_HITS = f"SELECT h.*, p_name, p_size, false AS ai FROM ({search(PARTS, ['small', 'red'], 20, popularity=_POPULAR)}) h JOIN part ON CAST(p_partkey AS VARCHAR) = h.id"
+ORACLES["search_with_data"] = _HITS
+ORACLES["search_response"] = f"SELECT 'success' AS status, 200 AS statusCode, 'parts' AS index, 'small red' AS query, rank - 1 AS at, id, p_name, score, ai FROM ({_HITS})"
 # The batch: candidates of each query by its two tokens.
 ORACLES["search_batch_benchmark"] = f"""WITH {DOCS},
 bt AS (SELECT item_id, t FROM (SELECT item_id, {tokens('text')} AS t FROM benchmark) WHERE len(t) >= 2),

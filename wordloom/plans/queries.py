@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +13,9 @@ from wordloom.functions import text as fn
 from wordloom.functions import vector as vf
 from wordloom.operators import expand, maintain, vectors
 from wordloom.operators import index as ix
-from wordloom.operators.search import search, search_batch
+from wordloom.operators.search import any_hits, search, search_batch, to_response, with_data
 from wordloom.sources import datagen, readers, snapshot
+from wordloom.sources.snapshot import shared_folder
 
 DOCS = IndexConfig.create(["text"], filters=["lang", "source"], id_field="doc_id")
 PARTS = IndexConfig.create(["p_name", "p_type", "p_brand"], {"p_name": 3}, ["p_size", "p_brand"], id_field="p_partkey", popularity_field="p_retailprice")
@@ -36,24 +35,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.spread(df) if name in ("documents", "pages") else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder for a local session, else the warehouse."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at and spark.sparkContext.master.startswith("local"):
-        at = "file://" + tempfile.mkdtemp(prefix="wordloom-index-")
-    root = f"{(at or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex[:12]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return root
-
-
 def _index(spark: SparkSession, sf_dir: str, name: str, config: IndexConfig, docs: Callable[[], DataFrame] | None = None) -> ix.Tables:
     """The index of a table, written once for a session and read by each query."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
         raw = docs() if docs else _read(spark, sf_dir, name)
         path = f"{shared_folder(spark)}/{name}"
-        snapshot.save(ix.build(ix.live_documents(raw, config), config), path)
+        snapshot.save(ix.build(ix.live_documents(raw, config, distinct=True), config), path)
         _BUILT[key] = snapshot.load(spark, path)
     return _BUILT[key]
 
@@ -69,14 +57,13 @@ def parts_index(spark: SparkSession, sf_dir: str) -> ix.Tables:
 def talks_index(spark: SparkSession, sf_dir: str) -> ix.Tables:
     def docs() -> DataFrame:
         turns = _read(spark, sf_dir, "conversations")
-        first = turns.where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
-        return turns.groupBy("conv_id").agg(F.collect_set("role").alias("role")).join(first, "conv_id", "left")
+        return turns.groupBy("conv_id").agg(F.collect_set("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", "role", F.col("t.text").alias("text"))
 
     return _index(spark, sf_dir, "talks", TALKS, docs)
 
 
 def _lazy(spark: SparkSession, sf_dir: str) -> ix.Tables:
-    return ix.build(ix.live_documents(_read(spark, sf_dir, "documents"), DOCS), DOCS)
+    return ix.build(ix.live_documents(_read(spark, sf_dir, "documents"), DOCS, distinct=True), DOCS)
 
 
 @query
@@ -99,7 +86,7 @@ def stopword_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ix.live_documents(_read(spark, sf_dir, "part"), PARTS)
+    docs = ix.live_documents(_read(spark, sf_dir, "part"), PARTS, distinct=True)
     return ix.postings(docs, PARTS).select("id", "term", "score")
 
 
@@ -238,7 +225,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings by term of the documents added in three parts."""
-    docs = ix.live_documents(_read(spark, sf_dir, "documents"), DOCS)
+    docs = ix.live_documents(_read(spark, sf_dir, "documents"), DOCS, distinct=True)
     part = lambda i: docs.where(F.pmod("doc_id", F.lit(3)) == i)
     whole = maintain.upsert(maintain.upsert(part(0), part(1)), part(2))
     return ix.postings(whole, DOCS).groupBy("term").agg(F.count("*").alias("df"), F.sum("score").alias("score"))
@@ -293,6 +280,32 @@ def cluster_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cluster_incremental(_vectors(spark, sf_dir), Knobs()).select("id", F.array_join("categories", ",").alias("categories"))
 
 
+@query
+def zero_vectors_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering skips and counts vectors without a direction."""
+    rows = _vectors(spark, sf_dir).select("id", "ord", F.when(F.pmod("ord", F.lit(10)) == 0, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")).alias("vector"))
+    return vectors.embedding_counts(rows)
+
+
+@query
+def centroid_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category sums after every third vector is removed."""
+    rows = _vectors(spark, sf_dir)
+    gone = rows.where("ord % 3 = 0")
+    left = vectors.subtract(vectors.centroids(rows), vectors.centroids(gone))
+    return left.select("name", "pos", F.round("total", 6).alias("total"), "n")
+
+
+@query
+def vector_state_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved vectors, members and categories, read again: members and size of each category."""
+    rows, path = _vectors(spark, sf_dir), f"{shared_folder(spark)}/vectors"
+    snapshot.save_vectors(rows.select("id", "ord", "vector"), rows.select("id", "name", "vector"), vectors.categories(rows), path, {"ai_category_threshold": 0.6})
+    _, members, cats, knobs = snapshot.load_vectors(spark, path)
+    n = members.groupBy("name").agg(F.count("*").alias("members"))
+    return cats.join(n, "name").select("name", "members", "count", F.round("norm", 6).alias("norm"), F.lit(knobs["ai_category_threshold"]).alias("threshold"))
+
+
 @query
 def embed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "part")
@@ -302,7 +315,7 @@ def embed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/roundtrip"
-    snapshot.save(ix.build(ix.live_documents(_read(spark, sf_dir, "part"), PARTS), PARTS), path)
+    snapshot.save(ix.build(ix.live_documents(_read(spark, sf_dir, "part"), PARTS, distinct=True), PARTS), path)
     return snapshot.load(spark, path).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("score").alias("score"))
 
 
@@ -314,6 +327,74 @@ def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("id", "p_name", docs["p_size"].cast("bigint").alias("p_size"))
 
 
+@query
+def json_array_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold an array of objects each, as bulk uploads do."""
+    path = f"{shared_folder(spark)}/parts-array"
+    rows = _read(spark, sf_dir, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("id"), "p_name", "p_size")).alias("j"), F.pmod("p_partkey", F.lit(4)).alias("k"))
+    rows.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).write.partitionBy("k").text(path)
+    docs = ix.live_documents(readers.read_documents(spark, path), IndexConfig.create(["p_name"]))
+    return docs.select("id", "p_name", docs["p_size"].cast("bigint").alias("p_size"))
+
+
+@query
+def single_document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after one part is replaced and one added, each by a request."""
+    base = ix.live_documents(_read(spark, sf_dir, "part"), PARTS, distinct=True).select("id", "p_name")
+    for key in ("1", "new"):
+        one = readers.one_document(spark, {"document": {"id": key, "p_name": f"upserted {key}"}})
+        base = maintain.upsert(base, ix.live_documents(one, IndexConfig.create(["p_name"])))
+    return base.select("id", "p_name")
+
+
+@query
+def bulk_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of repeated ids in one upload the last row read counts."""
+    rows = _read(spark, sf_dir, "documents").orderBy("doc_id").select((F.col("doc_id") % 100).alias("id"), "doc_id", "lang")
+    return ix.live_documents(rows, IndexConfig.create(["lang"])).select("id", "doc_id", "lang")
+
+
+@query
+def search_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best parts with their documents."""
+    tables = parts_index(spark, sf_dir)
+    return with_data(search("small red", tables, k=20), tables).select("rank", "id", "score", F.col("data.p_name").alias("p_name"), F.col("data.p_size").alias("p_size"), "ai")
+
+
+@query
+def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer as one JSON text, read again."""
+    tables = parts_index(spark, sf_dir)
+    answer = to_response(with_data(search("small red", tables, k=20), tables), "parts", "small red")
+    kind = "status string, statusCode int, index string, query string, response struct<Docs: array<struct<ID: string, Data: struct<p_name: string>, Score: long, AI: boolean>>>"
+    r = answer.select(F.from_json("json", kind).alias("r"))
+    return r.select("r.status", "r.statusCode", "r.index", "r.query", F.posexplode("r.response.Docs").alias("at", "d")).select("status", "statusCode", "index", "query", "at", F.col("d.ID").alias("id"), F.col("d.Data.p_name").alias("p_name"), F.col("d.Score").alias("score"), F.col("d.AI").alias("ai"))
+
+
+@query
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some five matching documents: how many, and how many of them match."""
+    tables = documents_index(spark, sf_dir)
+    some = any_hits("that", tables, 5)
+    match = tables.postings.where("term = 'that'").select("id").distinct()
+    return some.agg(F.count("*").alias("n")).crossJoin(some.join(match, "id", "left_semi").agg(F.count("*").alias("n_match")))
+
+
+@query
+def deleted_never_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search after every seventh document is deleted."""
+    docs = maintain.delete(ix.live_documents(_read(spark, sf_dir, "documents"), DOCS, distinct=True), _gone(spark, sf_dir))
+    return search("that with", ix.build(docs, DOCS), k=30)
+
+
+@query
+def word_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands written as a word file and read again."""
+    path = f"{shared_folder(spark)}/words"
+    readers.write_words(_read(spark, sf_dir, "part").select(F.col("p_brand").alias("word")).distinct(), path)
+    return readers.read_words(spark, path)
+
+
 @query
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/parts-csv"

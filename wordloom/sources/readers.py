@@ -71,12 +71,11 @@ def one_document(spark: SparkSession, body: str | Mapping[str, Any]) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files give few splits, as one row group does.
+    """A table of one split, so of spark.sql.files.maxPartitionBytes at most, over all cores.
 
-    Larger inputs have more splits than that and stay as they are.
+    Larger ones stay as they are: the bound does not grow with the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def first_seen_vocabulary(docs: DataFrame, order: str, text: str) -> DataFrame:

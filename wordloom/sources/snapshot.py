@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import asdict
 
@@ -13,6 +14,21 @@ from wordloom.operators import index
 from wordloom.operators.index import Tables, build
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``, gone with the session.
+
+    Where that is unset a local session takes a temporary folder, a cluster the warehouse.
+    """
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.startswith("local"):
+        at = "file://" + tempfile.mkdtemp(prefix="wordloom-index-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    root = f"{(at or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex[:12]}"
+    fs, path = _files(spark, root)
+    fs.deleteOnExit(path)
+    return root
+
+
 def _files(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -75,7 +91,10 @@ def load(spark: SparkSession, path: str) -> Tables:
     _, there = _files(spark, f"{path}/postings")
     if not fs.exists(there):
         return build(docs, config)
-    return Tables(config, *(spark.read.parquet(f"{path}/{name}") for name in Tables.NAMES))
+    tables = Tables(config, *(spark.read.parquet(f"{path}/{name}") for name in Tables.NAMES))
+    if tables.popularity.isEmpty():  # then no plan joins it
+        tables.popularity = tables.popularity.limit(0)
+    return tables
 
 
 def save_vectors(vectors: DataFrame | None, members: DataFrame | None, cats: DataFrame | None, path: str, knobs: dict) -> None:
