@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -519,6 +520,36 @@ def test_licences(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licence_cosine_equals_brute_force():
+    texts = ["Licensed under the MIT License by Foo", "all about bananas", "free software under the GNU General Public License version 2 as published"]
+    seen = np.zeros(licences.HASHED)
+    for t in texts:
+        seen[list({licences.bucket(x) for x in licences.terms(t)})] += 1
+    matcher = licences.Matcher(seen, 3)
+
+    def weights(words):
+        idf = lambda w: math.log(4 / (seen[licences.bucket(w)] + 1)) + 1
+        return {w: (1 + math.log(n)) * idf(w) for w, n in Counter(words).items()}
+
+    def cosine(a, b):
+        u, v = weights(a), weights(b)
+        return sum(u[w] * v.get(w, 0) for w in u) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+
+    words = lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+    for t in texts:
+        w = words(t)
+        spans = [w] + [w[i : i + n] for n in licences.SPANS if n < len(w) for i in range(0, len(w) - n // 2, n // 2)]
+        want = max(cosine(s, words(x)) for s in spans for xs in licences.TEMPLATES.values() for x in xs)
+        assert matcher.best(t)[1] == pytest.approx(want)
+
+
+def test_licence_windows_of_very_long_pages():
+    page = "<script " * 300_000 + "<p>Licensed under the MIT License</p>" + "licence " * 100_000
+    began = time.process_time()
+    assert licences.windows(page, False)
+    assert time.process_time() - began < 20
+
+
 def test_licence_statements_across_lines_and_tags(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
     rows = [

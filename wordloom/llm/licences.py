@@ -1,8 +1,8 @@
 """Licences of pages: TF-IDF cosine to templates, then inheritance by path.
 
 Statements around cue words, links to licences and whole licence files are compared with
-short templates as sparse TF-IDF vectors; the document frequencies come from
-all windows.  A file without a licence of its own takes that of its nearest
+short templates as sparse TF-IDF vectors; the frequencies of all terms, hashed,
+come from all windows.  A file without a licence of its own takes that of its nearest
 ancestor directory, where a directory's licence is declared by a licence file
 in it or by its index page.
 """
@@ -10,7 +10,9 @@ in it or by its index page.
 from __future__ import annotations
 
 import html
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +40,9 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved", "Proprietary and confidential. All rights reserved. Unauthorized copying is prohibited"],
 }
 _CUE = re.compile(r"licen[sc]ed?\b|\breleased\s+under\b|\ball\s+rights\s+reserved\b|\bpublic\s+domain\b|\bpermission\s+is\s+hereby\b|\bredistribut", re.I)
-_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^<>]*>", re.I | re.S)
+_OPEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = re.compile(r"</(?:script|style)\s*>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _FILE = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 #: Tags within a sentence, line breaks, links and the ends of sentences.
@@ -57,8 +61,10 @@ _ADDRESS = {
     }.items()
 }
 _END = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])")
-#: The words near a cue, where its whole sentence is like no template.
+#: Characters before and after a cue that are compared alone, where its whole sentence is like no template.
 BEFORE, AFTER = 60, 160
+#: Terms of the runs that are compared beside a whole text, and places of the hashed terms' counts.
+SPANS, HASHED = (8, 16, 32), 1 << 18
 
 
 def terms(text: str) -> Counter:
@@ -70,6 +76,18 @@ def linked(url: str) -> str | None:
     return next((name for name, at in _ADDRESS.items() if at.search(url)), None)
 
 
+def without_scripts(text: str) -> str:
+    """The page with a tag for each script or style; one that never closes stays as text."""
+    out, at = [], 0
+    while m := _OPEN.search(text, at):
+        end = _CLOSE.search(text, m.end())
+        if not end:
+            break
+        out += [text[at : m.start()], "<p>"]
+        at = end.end()
+    return "".join([*out, text[at:]])
+
+
 def windows(text: str | None, whole: bool) -> list[list[str]]:
     """Licence statements of a page, each with the texts that may stand for it.
 
@@ -79,6 +97,7 @@ def windows(text: str | None, whole: bool) -> list[list[str]]:
     licence stands for the licence's first template.  A licence file is one statement, its whole text.
     """
     text = (text or "").replace("\0", " ").replace("\1", " ").replace("\2", " ")
+    text = without_scripts(text)
     plain = html.unescape(_TAG.sub(lambda m: "" if _INLINE.match(m[0]) else "\n" if _BREAK.match(m[0]) else "\n\n", text))
     if whole:
         return [[plain, ""]]
@@ -111,41 +130,54 @@ def close(plain: str) -> list[str]:
     for m in _CUE.finditer(plain):
         if m.start() < last:
             continue
-        lo = max(plain.rfind("\n", 0, m.start()), m.start() - BEFORE) + 1
-        hi = plain.find("\n", m.end())
+        lo = max(plain.rfind("\n", max(0, m.start() - BEFORE), m.start()), m.start() - BEFORE) + 1
+        hi = plain.find("\n", m.end(), m.end() + AFTER)
         last = min(hi if hi >= 0 else len(plain), m.end() + AFTER)
         out.append(plain[max(lo, 0) : last])
     return out
 
 
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % HASHED
+
+
 class Matcher:
-    """Templates as TF-IDF rows over their own terms."""
-
-    def __init__(self, seen: dict[str, int], total: int):
-        rows = [(name, terms(t)) for name, ts in TEMPLATES.items() for t in ts]
-        self.names = [n for n, _ in rows]
-        self.place = {t: i for i, t in enumerate(sorted({t for _, c in rows for t in c}))}
-        self.idf = np.array([np.log((total + len(rows) + 1) / (seen.get(t, 0) + 1)) + 0.1 for t in self.place])
-        self.rest = float(np.log(total + len(rows) + 1) + 0.1)
-        self.rows = np.stack([self._vector(c)[0] for _, c in rows])
-
-    def _vector(self, count: Counter) -> tuple[np.ndarray, float]:
-        v, other = np.zeros(len(self.place)), 0.0
-        for t, n in count.items():
-            i = self.place.get(t)
-            if i is None:
-                other += ((1 + np.log(n)) * 0.25 * self.rest) ** 2
-            else:
-                v[i] = (1 + np.log(n)) * self.idf[i]
-        size = np.sqrt((v * v).sum() + other)
-        return (v / size if size else v), size
+    """Templates as sparse TF-IDF rows over all terms.
+
+    ``seen`` counts the windows that hold each hashed term, of ``total``; a text
+    is compared as a whole and in runs of SPANS terms, half over half, so what
+    surrounds a statement does not hide it.
+    """
+
+    def __init__(self, seen: np.ndarray, total: int):
+        self.idf = np.log((total + 1) / (seen + 1)) + 1
+        self.names, self.rows = [], []
+        for name, texts in TEMPLATES.items():
+            for text in texts:
+                v = self.vector(Counter(_TERM.findall(text.lower())))
+                size = math.sqrt(sum(x * x for x in v.values()))
+                self.names.append(name)
+                self.rows.append({t: x / size for t, x in v.items()})
+        self.known = {t for row in self.rows for t in row}
+
+    def vector(self, count: Counter) -> dict[str, float]:
+        return {t: (1 + math.log(n)) * self.idf[bucket(t)] for t, n in count.items()}
 
     def best(self, text: str) -> tuple[str | None, float]:
-        v, size = self._vector(terms(text))
-        if not size:
-            return None, 0.0
-        cos = self.rows @ v
-        return self.names[int(cos.argmax())], float(cos.max())
+        """The closest template, the first of equal ones, and its cosine."""
+        found = _TERM.findall(text.lower())
+        spans = [found] + [found[lo : lo + n] for n in SPANS if n < len(found) for lo in range(0, len(found) - n // 2, n // 2)]
+        best: tuple[str | None, float] = (None, 0.0)
+        for span in spans:
+            if self.known.isdisjoint(span):
+                continue
+            v = self.vector(Counter(span))
+            size = math.sqrt(sum(x * x for x in v.values()))
+            for name, row in zip(self.names, self.rows, strict=True):
+                cos = sum(x * v.get(t, 0.0) for t, x in row.items()) / size
+                if cos > best[1] + 1e-12:
+                    best = name, cos
+        return best
 
 
 def path_parts(path: Column) -> Column:
@@ -179,26 +211,29 @@ def licences(pages: DataFrame, id_col: str = "page_id", path_col: str = "url", t
 
     found = scratch.table(rows.mapInPandas(gather, f"id {kind}, dir string, is_file boolean, is_index boolean, found string").withColumn("uid", F.monotonically_increasing_id()), "windows")
 
-    vocabulary = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms(x)})
-
     def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, sums, total = set(vocabulary), Counter(), 0
+        sums, total = np.zeros(HASHED, np.int64), 0
         for batch in batches:
             for joined in batch["found"]:
                 for window in re.split("[\0\1]", re.sub("\2[^\0]*", "", joined)) if joined else ():
                     total += 1
-                    sums.update(wanted.intersection(terms(window)))
-        yield pd.DataFrame({"term": ["", *sums], "n": [total, *sums.values()]})
+                    sums[list({bucket(t) for t in terms(window)})] += 1
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"term": np.append(-1, at), "n": np.append(total, sums[at])})
 
-    seen = {r["term"]: r["n"] for r in found.select("found").mapInPandas(frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms
-    total = seen.pop("", 0)
+    counts, total = np.zeros(HASHED), 0
+    for r in found.select("found").mapInPandas(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most HASHED rows
+        if r["term"] < 0:
+            total = r["n"]
+        else:
+            counts[r["term"]] = r["n"]
 
     def stands(matcher: Matcher, statement: str) -> tuple[str | None, float]:
         whole, near = (max(map(matcher.best, x.split("\1")), key=lambda b: b[1]) for x in statement.split("\2"))
         return whole if whole[1] >= least else max(whole, near, key=lambda b: b[1])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(seen, total)
+        matcher = Matcher(counts, total)
         for batch in batches:
             best = [max((stands(matcher, w) for w in x.split("\0")), key=lambda b: b[1]) if x else (None, 0.0) for x in batch["found"]]
             own = [n if c >= least else None for n, c in best]
