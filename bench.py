@@ -4,7 +4,8 @@
 local[$BENCH_CPUS].  Besides the seconds of each query it gives the documents
 indexed and the queries answered in a second, for loads in four modes (one or
 several terms, with and without a filter) of 10 % misspelled, 25 % prefix and
-65 % exact terms drawn from the corpus.
+65 % exact terms drawn from the corpus, and the latencies of single queries by
+mode as asked by a few clients at once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 LOAD = int(os.environ.get("BENCH_QUERIES", "2000"))
+CLIENT_QUERIES = 16
 SINGLES = ("search_single_exact", "search_single_fuzzy", "search_multi_prefix_last", "filter_and", "popularity_multi", "cosine_topk", "category_probe_topk", "hybrid_append", "tokenize_documents", "vocab_df", "prefix_table_top64", "latency_nearest_rank")
 
 
@@ -62,10 +64,14 @@ def main() -> None:
     for name in SINGLES:
         timed(lambda name=name: q.QUERIES[name](spark, SF)) if name in ("search_single_exact",) else None  # compiles the plan's code once
         seconds[name] = timed(lambda name=name: q.QUERIES[name](spark, SF))
+    from wordloom.plans import load as clients
+
+    log = clients.run_clients(spark, tables, query_load(words, CLIENT_QUERIES, ["en", "fr", "de", "es"], seed=7), "lang", workers=4)
+    latency = {r["mode"]: {k: round(r[k], 1) for k in ("mean", "p50", "p95", "p99")} | {"n": r["n"], "errors": r["errors"]} for r in clients.report(log).collect()}
     batch = sum(v for k, v in seconds.items() if k.startswith("batch_"))
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": SF,
-        "docs_per_second_indexed": round(n_docs / seconds["index_build"], 1), "queries_per_second_batch": round(LOAD / batch, 1),
+        "docs_per_second_indexed": round(n_docs / seconds["index_build"], 1), "queries_per_second_batch": round(LOAD / batch, 1), "latency_ms": latency,
     }))
 
 
@@ -83,7 +89,8 @@ def tool(args: list[str]) -> None:
     elif args[0] == "loadtest":
         tables = q.documents_index(spark, SF)
         words = [r["term"] for r in tables.vocabulary.orderBy(F.desc("df"), "term").limit(5000).collect()]
-        asked = datagen.query_load(words, int(args[1]), ["en", "fr", "de", "es"], mix="load")
+        pools = [r["tokens"] for r in readers.token_pools(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text").limit(1000).collect()]
+        asked = datagen.query_load(words, int(args[1]), ["en", "fr", "de", "es"], mix="load", pools=pools)
         load.report(load.run_clients(spark, tables, asked, "lang", int(args[2]) if len(args) > 2 else 16)).show()
     else:
         sys.exit(f"unknown tool {args[0]!r}: {tool.__doc__}")

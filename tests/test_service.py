@@ -197,6 +197,9 @@ def test_generators(spark):
     assert len(set(words)) == 100 and all(3 <= len(w) <= 12 for w in words)
     docs = datagen.documents(spark, 200, words).collect()
     assert all(3 <= len(d["title"].split()) <= 20 and 1 <= len(d["tags"]) <= 10 and 2000 <= d["year"] <= 2024 for d in docs)
+    pooled = datagen.query_load(words, 400, ["en"], mix="load", pools=[["xx", "yy"], ["zz", "ww"]])
+    firsts = [q.split()[:-1] for _, m, q, _ in pooled if m.startswith("multi")]
+    assert all(set(q) <= {"xx", "yy"} or set(q) <= {"zz", "ww"} for q in firsts)
     assert {m for _, m, _, _ in datagen.query_load(words, 8, ["en"])} == {"single", "single_filter", "multi", "multi_filter"}
 
 

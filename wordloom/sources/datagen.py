@@ -59,11 +59,15 @@ def many_terms(pool: Sequence[str], rng: random.Random, mix: str = "benchmark")
     return " ".join([*words[:-1], one_term([words[-1]], rng, mix)])
 
 
-def query_load(vocabulary: Sequence[str], n: int, filters: Sequence[str], seed: int = 42, mix: str = "benchmark") -> list[tuple[int, str, str, str | None]]:
-    """(query_id, mode, query, filter value) with the four modes in turn."""
+def query_load(vocabulary: Sequence[str], n: int, filters: Sequence[str], seed: int = 42, mix: str = "benchmark", pools: Sequence[Sequence[str]] = ()) -> list[tuple[int, str, str, str | None]]:
+    """(query_id, mode, query, filter value) with the four modes in turn.
+
+    Queries of several terms take them from one of the ``pools``, the tokens of
+    a document each, where there are any.
+    """
     rng, out = random.Random(seed), []
     for i in range(n):
         mode = ("single", "single_filter", "multi", "multi_filter")[i % 4]
-        query = one_term(vocabulary, rng, mix) if mode.startswith("single") else many_terms(vocabulary, rng, mix)
+        query = one_term(vocabulary, rng, mix) if mode.startswith("single") else many_terms(rng.choice(pools) if pools else vocabulary, rng, mix)
         out.append((i, mode, query, rng.choice(filters) if mode.endswith("filter") else None))
     return out

@@ -68,7 +68,11 @@ def save(tables: Tables, path: str, derived: bool = True, prefixes: int = Knobs.
 
     put("documents", tables.documents)
     if derived:
-        vocab = put("vocabulary", index.vocabulary(put("postings", tables.postings)))
+        # Dealing by range reads its input twice, once for the bounds; texts are tokenized once.
+        tables.postings.write.parquet(f"{new}.postings")
+        vocab = put("vocabulary", index.vocabulary(put("postings", spark.read.parquet(f"{new}.postings"))))
+        fs, staged = _files(spark, f"{new}.postings")
+        fs.delete(staged, True)
         put("prefixes", index.prefix_table(vocab, prefixes))
         put("deletes", index.delete_table(vocab))
         put("filters", tables.filters)
