@@ -719,3 +719,12 @@ def test_pipeline(spark):
     packed = corpus_pipeline.packing_stage(spark, mix, SF)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mix.collect()}
     assert corpus_pipeline.run(spark, SF).columns == packed.columns
+
+
+def test_pipeline_of_empty_and_null_tables(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("empty", docs.limit(0)), ("null", docs.limit(7).select(*(F.lit(None).cast(k).alias(c) for c, k in docs.dtypes)))):
+        rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").count() == 0
