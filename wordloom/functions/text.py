@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WHITE = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 STOPWORDS = ("a", "the", "and")
+#: What a token keeps.  Single characters come first: the matcher holds them in a
+#: table and asks for a character's class only where it is not among them.
+_KEPT = "".join(map(chr, (*range(97, 123), *range(65, 91), *range(48, 58)))) + rf"{WHITE}\p{{L}}\p{{M}}\p{{Nd}}"
 SCORE_UNIT = 100_000
 
 
@@ -23,13 +26,24 @@ def tokenize(text: Column) -> Column:
     punctuation inside a word joins its parts.  Dotted capital I and capital
     sigma are lowered one by one, apart from their neighbours.
     """
-    bare = F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{WHITE}]+", "")
-    words = F.split(F.lower(F.translate(bare, "İΣ", "iσ")), f"[{WHITE}]+")
+    bare = F.regexp_replace(text, f"[^{_KEPT}]+", "")
+    for capital, small in (("İ", "i"), ("Σ", "σ")):
+        bare = F.replace(bare, F.lit(capital), F.lit(small))
+    words = F.split(F.lower(bare), f"[{WHITE}]+")
     for drop in ("", *STOPWORDS):
         words = F.array_remove(words, drop)
     return words
 
 
+def made_once(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The columns ``kept`` of ``df`` and new ones that are made once a row.
+
+    A filter on a plain new column moves below it and makes the column again;
+    it can't move below a generator.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(name) for name, c in made.items())))))
+
+
 def count_tokens(text: str) -> int:
     """How many tokens ``tokenize`` finds in a query, without a job."""
     kept = ("".join(c for c in w if unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nd") for w in _WHITE.split(text))

@@ -41,7 +41,7 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
     row, so they are sorted and summed there and no row is dealt by document.
     """
     tokens = [fn.field_tokens(docs, f) for f in config.index_fields]
-    rows = docs.select("id", *(t.alias(f"t{i}") for i, t in enumerate(tokens)))
+    rows = fn.made_once(docs, "id", **{f"t{i}": t for i, t in enumerate(tokens)})
     total = sum((F.size(f"t{i}") * config.weight(f) for i, f in enumerate(config.index_fields)), F.lit(0)).cast("bigint")
     rows = rows.withColumn("total", total).where("total > 0")
     share = [F.greatest(F.expr(f"{fn.SCORE_UNIT * config.weight(f)}L div total"), F.lit(1).cast("bigint")) for f in config.index_fields]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,24 +55,21 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
 def save(tables: Tables, path: str, derived: bool = True, prefixes: int = Knobs.max_prefix_terms) -> None:
     """Write documents and definition, and the derived tables unless told not to.
 
-    What follows from postings and vocabulary reads the written ones.  Derived
-    tables are sorted by what looks them up, so a read skips row groups.
+    What follows from postings and vocabulary reads the written ones.  Every
+    task sorts its rows by what looks them up, so a read skips pages; no row
+    changes its task for that, so no key, however frequent, gathers in one.
     """
     spark = tables.documents.sparkSession
     new = f"{path}.new-{uuid.uuid4().hex[:8]}"
 
     def put(name: str, df: DataFrame) -> DataFrame:
         key = tables.SORTED.get(name)
-        (df.repartitionByRange(*key).sortWithinPartitions(*key) if key else df).write.parquet(f"{new}/{name}")
+        (df.sortWithinPartitions(*key) if key else df).write.parquet(f"{new}/{name}")
         return spark.read.schema(df.schema).parquet(f"{new}/{name}")
 
     put("documents", tables.documents)
     if derived:
-        # Dealing by range reads its input twice, once for the bounds; texts are tokenized once.
-        tables.postings.write.parquet(f"{new}.postings")
-        vocab = put("vocabulary", index.vocabulary(put("postings", spark.read.parquet(f"{new}.postings"))))
-        fs, staged = _files(spark, f"{new}.postings")
-        fs.delete(staged, True)
+        vocab = put("vocabulary", index.vocabulary(put("postings", tables.postings)))
         put("prefixes", index.prefix_table(vocab, prefixes))
         put("deletes", index.delete_table(vocab))
         put("filters", tables.filters)
@@ -81,6 +78,23 @@ def save(tables: Tables, path: str, derived: bool = True, prefixes: int = Knobs.
     _swap(spark, new, path)
 
 
+def staged(tables: Tables, prefixes: int = Knobs.max_prefix_terms) -> Tables:
+    """Lazy tables for one search: postings and vocabulary are written, what follows reads them.
+
+    A search reads both several times; each time would tokenize all documents.
+    """
+    spark = tables.documents.sparkSession
+    root = shared_folder(spark)
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    post = put("postings", tables.postings)
+    vocab = put("vocabulary", index.vocabulary(post))
+    return replace(tables, postings=post, vocabulary=vocab, prefixes=index.prefix_table(vocab, prefixes), deletes=index.delete_table(vocab))
+
+
 def load(spark: SparkSession, path: str) -> Tables:
     """The index of a snapshot; derived tables that it lacks are rebuilt lazily."""
     fs, place = _files(spark, path)
