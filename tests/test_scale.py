@@ -3,8 +3,10 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from conftest import SF
 
 from wordloom.operators import index as ix
+from wordloom.plans import queries
 from wordloom.sources import snapshot
 
 
@@ -41,3 +43,7 @@ def test_saved_tables_stay_in_their_tasks(spark, docs, tmp_path, monkeypatch):
     got = snapshot.load(spark, f"file://{tmp_path}/at")
     for name in ("postings", "vocabulary", "prefixes", "deletes"):
         assert sorted(getattr(got, name).collect()) == sorted(getattr(tables, name).collect())
+
+
+def test_search_after_deletes_tokenizes_no_more(spark):
+    assert scans(queries.deleted_never_found(spark, SF)) == 0

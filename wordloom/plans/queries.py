@@ -384,7 +384,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deleted_never_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search after every seventh document is deleted."""
     docs = maintain.delete(ix.live_documents(_read(spark, sf_dir, "documents"), DOCS, distinct=True), _gone(spark, sf_dir))
-    return search("that with", ix.build(docs, DOCS), k=30)
+    return search("that with", snapshot.staged(ix.build(docs, DOCS)), k=30)
 
 
 @query
