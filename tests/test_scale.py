@@ -47,3 +47,7 @@ def test_saved_tables_stay_in_their_tasks(spark, docs, tmp_path, monkeypatch):
 
 def test_search_after_deletes_tokenizes_no_more(spark):
     assert scans(queries.deleted_never_found(spark, SF)) == 0
+
+
+def test_added_parts_tokenize_once(spark):
+    assert scans(queries.batch_equivalence(spark, SF)) == 1
