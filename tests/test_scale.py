@@ -7,7 +7,7 @@ from conftest import SF
 
 from wordloom.operators import index as ix
 from wordloom.plans import queries
-from wordloom.sources import snapshot
+from wordloom.sources import readers, snapshot
 
 
 def scans(df):
@@ -45,6 +45,24 @@ def test_saved_tables_stay_in_their_tasks(spark, docs, tmp_path, monkeypatch):
         assert sorted(getattr(got, name).collect()) == sorted(getattr(tables, name).collect())
 
 
+def test_few_row_groups_keep_all_cores_busy(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": range(8000), "text": [f"text {i} {i * i}" for i in range(8000)]}), tmp_path / "t.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = spark.read.parquet(f"file://{tmp_path}/t.parquet")
+        assert df.rdd.getNumPartitions() > 1
+        rows = readers.spread(df).rdd.glom().map(len).collect()
+        assert sum(rows) == 8000 and max(rows) <= 1.5 * 8000 / spark.sparkContext.defaultParallelism
+        even = df.repartition(16)
+        assert readers.spread(even) is even
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parts_are_read_by_all_cores(spark):
+    assert queries._read(spark, SF, "part").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_search_after_deletes_tokenizes_no_more(spark):
     assert scans(queries.deleted_never_found(spark, SF)) == 0
 

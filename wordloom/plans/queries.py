@@ -32,7 +32,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return readers.spread(df) if name in ("documents", "pages") else df
+    return readers.spread(df) if name in ("documents", "pages", "part") else df
 
 
 def _index(spark: SparkSession, sf_dir: str, name: str, config: IndexConfig, docs: Callable[[], DataFrame] | None = None) -> ix.Tables:

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.config import MAX_DOC_FIELDS, MAX_ID, InvalidRequest, byte_length
-from wordloom.functions.text import tokenize
+from wordloom.functions.text import made_once, tokenize
+
+#: A task may have so many times the rows of a core's even share.
+UNEVEN = 1.25
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -71,11 +74,18 @@ def one_document(spark: SparkSession, body: str | Mapping[str, Any]) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of one split, so of spark.sql.files.maxPartitionBytes at most, over all cores.
+    """A table that few tasks would read, over all cores; others stay as they are.
 
-    Larger ones stay as they are: the bound does not grow with the cluster.
+    A row group is read by one task, whatever the size of the splits, so a table
+    of few row groups keeps few cores busy.  Rows are counted by task, which
+    reads no column.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    cores, tasks = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if tasks > 1:
+        rows = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if not rows[0] or rows[0] * cores <= UNEVEN * rows[1]:
+            return df
+    return df.repartition(-(-tasks // cores) * cores)
 
 
 def first_seen_vocabulary(docs: DataFrame, order: str, text: str) -> DataFrame:
