@@ -67,6 +67,12 @@ def vocabulary(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def vocabulary_of(docs: DataFrame, config: IndexConfig) -> DataFrame:
+    """The vocabulary of documents whose postings are not written: no score is made."""
+    tokens = F.concat(*(fn.field_tokens(docs, f) for f in config.index_fields))
+    return vocabulary(docs.select(F.explode(F.array_distinct(tokens)).alias("term")))
+
+
 def prefix_table(vocab: DataFrame, most: int = Knobs.max_prefix_terms) -> DataFrame:
     """(prefix, rank, term, df): the most frequent terms under each proper prefix."""
     rows = vocab.select("term", "df", F.explode(fn.proper_prefixes(F.col("term"))).alias("prefix"))
@@ -109,13 +115,13 @@ class Tables:
     popularity: DataFrame
 
     NAMES = ("documents", "postings", "vocabulary", "prefixes", "deletes", "filters", "popularity")
-    #: What each derived table is sorted and dealt by when written: what looks it
-    #: up, so lookups skip row groups, then what splits a frequent key over files.
+    #: What each task sorts its rows of a derived table by when it writes them: what
+    #: looks them up, so lookups skip pages.
     SORTED = {"postings": ("term", "id"), "vocabulary": ("term",), "prefixes": ("prefix", "rank"), "deletes": ("key", "term"), "filters": ("field", "value", "id")}
 
 
 def build(docs: DataFrame, config: IndexConfig, knobs: Knobs = Knobs()) -> Tables:
     """All tables of live documents (see ``live_documents``)."""
     post = postings(docs, config)
-    vocab = vocabulary(post)
+    vocab = vocabulary_of(docs, config)
     return Tables(config, docs, post, vocab, prefix_table(vocab, knobs.max_prefix_terms), delete_table(vocab), filter_table(docs, config), popularity_table(docs, config))
