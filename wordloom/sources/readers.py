@@ -96,7 +96,7 @@ def first_seen_vocabulary(docs: DataFrame, order: str, text: str) -> DataFrame:
 
 def token_pools(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, tokens): the distinct tokens of documents that have two at least."""
-    rows = docs.select(F.col(key).alias("id"), F.array_distinct(tokenize(F.col(text))).alias("tokens"))
+    rows = made_once(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", tokens=F.array_distinct(tokenize(F.col("text"))))
     return rows.where(F.size("tokens") >= 2)
 
 
