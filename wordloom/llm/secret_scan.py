@@ -195,12 +195,15 @@ def _starts(text: Column, pattern: str, found: Column) -> Column:
 
 def _spans(text: Column, kind: int, pattern: str, value: int) -> Column:
     """Structs (start, kind, end, value) of the matches of one pattern."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
-    whole = F.arrays_zip(_starts(text, pattern, found).alias("s"), F.transform(found, lambda m: F.length(m)).alias("n"), values.alias("v"))
-    out = F.transform(whole, lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + x["n"]).alias("end"), x["v"].alias("value")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), out).otherwise(empty)
+
+    def placed(found: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
+        whole = F.arrays_zip(_starts(text, pattern, found).alias("s"), F.transform(found, lambda m: F.length(m)).alias("n"), values.alias("v"))
+        out = F.transform(whole, lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + x["n"]).alias("end"), x["v"].alias("value")))
+        return F.when(F.size(found) > 0, out).otherwise(empty)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", *, samples: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
