@@ -6,7 +6,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from wordloom.functions import text as fn
 from wordloom.operators import index as ix
 from wordloom.plans import queries
 from wordloom.sources import readers, snapshot
@@ -73,6 +75,29 @@ def test_added_parts_tokenize_once(spark):
     assert scans(queries.batch_equivalence(spark, SF)) == 1
 
 
+def test_added_parts_make_no_postings(spark):
+    plan = queries.batch_equivalence(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and not re.search("zip_with|lambda", plan)
+
+
+def test_totals_are_those_of_postings(spark, docs):
+    two = ix.IndexConfig.create(["text", "tags"], {"tags": 3})
+    tags = F.when(F.length("id") == 1, F.array(F.lit("w1 x"), F.lit("x"), F.lit(None)))
+    for df, c in ((docs, config()), (docs.withColumn("tags", tags), two)):
+        sums = ix.postings(df, c).groupBy("term").agg(F.count("*").alias("df"), F.sum("score").alias("score"))
+        got = ix.term_totals(df, c)
+        assert got.dtypes == sums.dtypes and sorted(got.collect()) == sorted(sums.collect())
+
+
+def test_tokens_of_every_character(spark):
+    """Each character within a word, alone, and at an end, as Python tells its class."""
+    points = [*range(0x250), 0x1680, *range(0x2000, 0x2030), 0x205F, 0x3000, 0x4E00, 0x1F600]
+    rows = [(i, f"x{chr(i)}y {chr(i)} Z{chr(i)}") for i in points]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = {r["i"]: r["n"] for r in df.select("i", F.size(fn.tokenize(F.col("text"))).alias("n")).collect()}
+    assert got == {i: fn.count_tokens(text) for i, text in rows}
+
+
 def test_vocabulary_makes_no_scores(spark):
     for df in (queries.vocab_df(spark, SF), queries.delete_keys(spark, SF)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()

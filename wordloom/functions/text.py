@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WHITE = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 STOPWORDS = ("a", "the", "and")
-#: What a token keeps.  Single characters come first: the matcher holds them in a
-#: table and asks for a character's class only where it is not among them.
-_KEPT = "".join(map(chr, (*range(97, 123), *range(65, 91), *range(48, 58)))) + rf"{WHITE}\p{{L}}\p{{M}}\p{{Nd}}"
+#: The classes below list their characters under U+0100 one by one, which the
+#: matcher holds in a table, and hide all others behind one comparison.
+_GAP = r"[\t\n\x0B\f\r \x85\xA0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]+"
+_DROPPED = "".join(f"\\x{i:02X}" for i in range(256) if not _WHITE.match(chr(i)) and unicodedata.category(chr(i))[0] not in "LM" and unicodedata.category(chr(i)) != "Nd")
+#: What no token keeps: all but letters, marks, digits and white space.
+_JUNK = rf"[{_DROPPED}[\x{{100}}-\x{{10FFFF}}&&[^{WHITE}\p{{L}}\p{{M}}\p{{Nd}}]]]+"
 SCORE_UNIT = 100_000
 
 
@@ -26,10 +29,10 @@ def tokenize(text: Column) -> Column:
     punctuation inside a word joins its parts.  Dotted capital I and capital
     sigma are lowered one by one, apart from their neighbours.
     """
-    bare = F.regexp_replace(text, f"[^{_KEPT}]+", "")
+    bare = F.regexp_replace(text, _JUNK, "")
     for capital, small in (("İ", "i"), ("Σ", "σ")):
         bare = F.replace(bare, F.lit(capital), F.lit(small))
-    words = F.split(F.lower(bare), f"[{WHITE}]+")
+    words = F.split(F.lower(bare), _GAP)
     for drop in ("", *STOPWORDS):
         words = F.array_remove(words, drop)
     return words

@@ -40,16 +40,10 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
     A token's share is that of its field.  All tokens of a document are in one
     row, so they are sorted and summed there and no row is dealt by document.
     """
-    tokens = [fn.field_tokens(docs, f) for f in config.index_fields]
-    rows = fn.made_once(docs, "id", **{f"t{i}": t for i, t in enumerate(tokens)})
-    total = sum((F.size(f"t{i}") * config.weight(f) for i, f in enumerate(config.index_fields)), F.lit(0)).cast("bigint")
-    rows = rows.withColumn("total", total).where("total > 0")
-    share = [F.greatest(F.expr(f"{fn.SCORE_UNIT * config.weight(f)}L div total"), F.lit(1).cast("bigint")) for f in config.index_fields]
-    if len(tokens) == 1:
-        rows = rows.select("id", F.sort_array("t0").alias("t"), share[0].alias("s"))
+    rows = _sorted_tokens(docs, config)
+    if len(config.index_fields) == 1:
         term, score = lambda i: F.get("t", i), lambda a, b: (b - a) * F.col("s")
     else:
-        rows = rows.select("id", F.sort_array(F.concat(*(_shared(F.col(f"t{i}"), s) for i, s in enumerate(share)))).alias("t"))
         term, score = lambda i: F.get("t", i)["t"], lambda a, b: F.aggregate(F.slice("t", a + 1, b - a), F.lit(0).cast("bigint"), lambda n, x: n + x["s"])
     first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
     rows = rows.withColumn("first", first)
@@ -58,6 +52,38 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
     return each.select("x.term", "id", "x.score")
 
 
+def term_totals(docs: DataFrame, config: IndexConfig) -> DataFrame:
+    """(term, df, score): postings of each term and their summed scores, of documents whose postings are not written.
+
+    Every token adds its share; the first of a document's equal tokens adds the
+    document.  No posting is made, and no function runs by token.
+    """
+    rows = _sorted_tokens(docs, config)
+    if len(config.index_fields) == 1:
+        each = rows.select("t", "s", F.posexplode("t").alias("i", "term"))
+        before = F.get("t", F.col("i") - 1)
+    else:
+        each = rows.select("t", F.posexplode("t").alias("i", "x")).select("t", "i", F.col("x.t").alias("term"), F.col("x.s").alias("s"))
+        before = F.get("t", F.col("i") - 1)["t"]
+    new = (F.col("i") == 0) | (before != F.col("term"))
+    return each.select("term", new.cast("bigint").alias("n"), "s").groupBy("term").agg(F.sum("n").alias("df"), F.sum("s").alias("score"))
+
+
+def _sorted_tokens(docs: DataFrame, config: IndexConfig) -> DataFrame:
+    """(id, t, s) of documents with tokens: these sorted, and the share of each.
+
+    With several fields (id, t), and ``t`` holds pairs of token and share.
+    """
+    tokens = [fn.field_tokens(docs, f) for f in config.index_fields]
+    rows = fn.made_once(docs, "id", **{f"t{i}": t for i, t in enumerate(tokens)})
+    total = sum((F.size(f"t{i}") * config.weight(f) for i, f in enumerate(config.index_fields)), F.lit(0)).cast("bigint")
+    rows = rows.withColumn("total", total).where("total > 0")
+    share = [F.greatest(F.expr(f"{fn.SCORE_UNIT * config.weight(f)}L div total"), F.lit(1).cast("bigint")) for f in config.index_fields]
+    if len(tokens) == 1:
+        return rows.select("id", F.sort_array("t0").alias("t"), share[0].alias("s"))
+    return rows.select("id", F.sort_array(F.concat(*(_shared(F.col(f"t{i}"), s) for i, s in enumerate(share)))).alias("t"))
+
+
 def _shared(tokens: Column, share: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("t"), share.alias("s")))
 

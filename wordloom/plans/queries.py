@@ -228,7 +228,7 @@ def batch_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ix.live_documents(_read(spark, sf_dir, "documents"), DOCS, distinct=True)
     part = lambda i: docs.where(F.pmod("doc_id", F.lit(3)) == i)
     whole = maintain.upsert(maintain.upsert(part(0), part(1)), part(2))
-    return ix.postings(whole, DOCS).groupBy("term").agg(F.count("*").alias("df"), F.sum("score").alias("score"))
+    return ix.term_totals(whole, DOCS)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
