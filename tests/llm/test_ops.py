@@ -728,3 +728,17 @@ def test_pipeline_of_empty_and_null_tables(spark, docs, labels, tmp_path):
         rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
         labels.limit(0).write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
         assert corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").count() == 0
+
+
+def test_mixing_reads_a_text_once_by_pattern(spark):
+    mixer = mixing.Mixer(("a", "b"), (3, 70000), ((0.5, 1.0), (-0.5, 0.0)), (0.0, 0.1))
+    rows = [(0, " \n\x0b one  two\tone \r\n"), (1, " \t "), (2, None), (3, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = mixing.scored(df, mixer, "text", "x")
+    # The ends of a text need no pattern, and known words are found by compiled code.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "array_intersect" in plan
+    assert {r["doc_id"]: r["x"]["tokens"] for r in out.collect()} == {0: 3, 1: 0, 2: 0, 3: 1}
+    hits = spark.createDataFrame([([9, 70000, 3, 70000, 3 + mixing.SLOTS],), ([],)], "h array<long>")
+    assert [r[0] for r in hits.select(mixing._hits(F.col("h"), (3, 70000))).collect()] == [[3, 2], []]
+    assert [r[0] for r in hits.select(mixing._hits(F.col("h"), ())).collect()] == [[], []]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from wordloom.ship import ship
 
 #: Words are maximal runs outside these characters (space and U+0009 to U+000D).
-WORD_GAP = r"[\x20\x09-\x0D]+"
+#: One by one they stand in a table of the matcher; a range doesn't.
+WORD_GAP = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 
 #: Tables of at most this many rows of a few numbers each may be broadcast;
 #: every caller counts first and has a shuffle join for larger ones.
@@ -79,7 +80,7 @@ def column(df: DataFrame, name: str) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}\z", "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP))
 
 

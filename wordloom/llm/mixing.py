@@ -50,8 +50,8 @@ class Mixer:
 
 
 def _features(text: Column) -> tuple[Column, Column]:
-    """Words of the text, and the distinct hashes of words."""
-    return words_of(F.lower(text)), lambda w: F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))
+    """Words of the text, and the hashes of words, repeated ones too."""
+    return words_of(F.lower(text)), lambda w: F.transform(w, lambda x: F.xxhash64(x))
 
 
 def _literal(values, kind: str) -> Column:
@@ -108,7 +108,7 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: tuple[str, ...],
     """
     domains = domains.where(F.col("domain").isin(*names) & F.col("id").isNotNull())
     words, hashes = _features(F.col("text"))
-    rows = docs.join(small(domains, domains.count()), "id").select("domain", F.struct(words.alias("w")).alias("x")).select("domain", hashes(F.col("x.w")).alias("h"))
+    rows = docs.join(small(domains, domains.count()), "id").select("domain", F.struct(words.alias("w")).alias("x")).select("domain", F.array_distinct(hashes(F.col("x.w"))).alias("h"))
     rows = scratch.table(rows.withColumn("u", F.xxhash64(F.monotonically_increasing_id())), "labelled")
     n = rows.count()
     if not n:
@@ -140,14 +140,13 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: tuple[str, ...],
 
 
 def _hits(h: Column, words: tuple[int, ...]) -> Column:
-    """Places of the known words among the hashes: 2 is the first."""
+    """Places of the known words among the hashes, each once: 2 is the first."""
     slots = [1] * SLOTS
     for i, x in enumerate(words):
         slots[x & (SLOTS - 1)] = i + 2
-    table, known = _literal(slots, "int"), _literal([0, *words], "bigint")
-    spot = lambda x: F.element_at(table, (x.bitwiseAND(SLOTS - 1) + 1).cast("int"))
-    at = F.transform(h, lambda x: F.struct(x.alias("x"), spot(x).alias("p")))
-    return F.transform(F.filter(at, lambda s: (s["p"] > 1) & (F.element_at(known, s["p"]) == s["x"])), lambda s: s["p"])
+    table, known = _literal(slots, "int"), _literal(words, "bigint") if words else F.array().cast("array<bigint>")
+    # Known words are found by compiled code; the place of each, which is slower, is looked up for them alone.
+    return F.transform(F.array_intersect(h, known), lambda x: F.element_at(table, (x.bitwiseAND(SLOTS - 1) + 1).cast("int")))
 
 
 def scored(docs: DataFrame, mixer: Mixer, text_col: str, into: str) -> DataFrame:
